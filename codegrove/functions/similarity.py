@@ -38,6 +38,10 @@ def _fuzzy_best(words: list[str], threshold: float):
     return best
 
 
+def _contained(word: str):
+    return lambda token: token.contains(word) | F.lit(word).contains(token)
+
+
 def best_matches(tokens: Column, words: list[str], threshold: float = 0.8) -> Column:
     """one score per query word: 1 for containment either way, else the best fuzzy ratio.
 
@@ -57,6 +61,6 @@ def best_matches(tokens: Column, words: list[str], threshold: float = 0.8) -> Co
     fuzzy = _fuzzy_best(words, threshold)(F.filter(tokens, reachable))
     scores = []
     for i, word in enumerate(words):
-        inside = F.exists(tokens, lambda t, w=word: t.contains(w) | F.lit(w).contains(t))
+        inside = F.exists(tokens, _contained(word))
         scores.append(F.when(inside, F.lit(1.0)).otherwise(F.get(fuzzy, F.lit(i))))
     return F.array(*scores)
