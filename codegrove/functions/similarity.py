@@ -3,37 +3,45 @@
 from __future__ import annotations
 
 import difflib
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=200_000)
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
+def similarity_ratio(left: Column, right: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two strings, ignoring case. Spark has no such built-in."""
 
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(
+            [difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)]
+        )
 
-@F.pandas_udf("double")
-def similarity_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings, ignoring case. Spark has no such built-in."""
-    return pd.Series([_ratio(a.lower(), b.lower()) for a, b in zip(left, right)])
+    return ratio(left, right)
 
 
 def _fuzzy_best(words: list[str], threshold: float):
-    """Per row: the best ratio >= threshold of each query word over the row's tokens."""
+    """Per row: the best ratio >= threshold of each query word over the row's tokens.
+
+    A token's scores are computed once per Arrow batch, however many rows repeat it.
+    """
 
     @F.pandas_udf("array<double>")
     def best(token_lists: pd.Series) -> pd.Series:
-        def score(tokens) -> list[float]:
-            row = []
-            for word in words:
-                ratios = (_ratio(word, token) for token in tokens)
-                row.append(max((r for r in ratios if r >= threshold), default=0.0))
-            return row
-
-        return token_lists.map(score)
+        known: dict[str, list[float]] = {}
+
+        def scores(token: str) -> list[float]:
+            if token not in known:
+                ratios = [difflib.SequenceMatcher(None, w, token).ratio() for w in words]
+                known[token] = [r if r >= threshold else 0.0 for r in ratios]
+            return known[token]
+
+        def row(tokens) -> list[float]:
+            columns = [scores(t) for t in tokens]
+            return [max(c) for c in zip(*columns)] if columns else [0.0] * len(words)
+
+        return token_lists.map(row)
 
     return best
 
