@@ -23,8 +23,8 @@ LISTING_LANGUAGES = {
 }
 # Every character Python counts as white space.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -58,15 +58,21 @@ def listing_language(path: Column) -> Column:
     return F.coalesce(_language(path, LISTING_LANGUAGES), F.lit("unknown"))
 
 
+# Where identifiers fall apart: punctuation, camel-case borders, the last capital of an acronym.
+WORD_BORDERS = r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+
 def tokens(text: Column, min_length: int = 1) -> Column:
     """split identifiers on punctuation, camel case and acronym borders; lower-case."""
-    spaced = F.regexp_replace(text, "[^a-zA-Z0-9]", " ")
-    spaced = F.regexp_replace(spaced, "([a-z])([A-Z])", "$1 $2")
-    spaced = F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    words = F.split(F.lower(spaced), " +")
+    words = F.split(F.lower(F.regexp_replace(text, WORD_BORDERS, " ")), " ")
     return F.filter(words, lambda w: F.length(w) >= min_length)
 
 
+def tokens_local(text: str) -> list[str]:
+    """The same split for one query string on the driver."""
+    return re.sub(WORD_BORDERS, " ", text).lower().split()
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words (token count of the mock embedding)."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,13 +25,23 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, b_norm: float | None = None) -> Column:
     """Cosine similarity; 0 when either vector has no length."""
-    size = norm(a) * (norm(b) if b_norm is None else F.lit(b_norm))
-    return F.coalesce(F.try_divide(dot(a, b), size), F.lit(0.0))
+    def ratio(v: Column) -> Column:
+        size = norm(v) * (norm(b) if b_norm is None else F.lit(b_norm))
+        return F.coalesce(F.try_divide(dot(v, b), size), F.lit(0.0))
+
+    return bound(a, ratio)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalised(a: Column) -> Column:
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    def divide(s: Column) -> Column:
+        return F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])
+
+    return bound(a, lambda v: bound(F.struct(v.alias("v"), norm(v).alias("n")), divide))
 
 
 def mock_embedding(text: Column, dims: int = 1024, normalise: bool = True) -> Column:
@@ -39,12 +49,15 @@ def mock_embedding(text: Column, dims: int = 1024, normalise: bool = True) -> Co
 
     The 32 distinct values are computed once and tiled, whatever the number of dimensions.
     """
-    digest = F.sha2(text, 256)
-    base = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
-        / 255.0 * 2.0 - 1.0,
-    )
+
+    def scaled(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(31)),
+            lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+            / 255.0 * 2.0 - 1.0,
+        )
+
+    base = bound(F.sha2(text, 256), scaled)
     tiled = F.slice(F.flatten(F.array_repeat(base, -(-dims // 32))), 1, dims)
     return normalised(tiled) if normalise else tiled
 

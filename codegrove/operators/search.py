@@ -36,12 +36,7 @@ CLASS_WORDS = ("class", "type")
 
 def query_tokens(text: str) -> list[str]:
     """Query words split like indexed text, each once, in order."""
-    import re
-
-    spaced = re.sub("[^a-zA-Z0-9]", " ", text)
-    spaced = re.sub("([a-z])([A-Z])", r"\1 \2", spaced)
-    spaced = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", spaced)
-    return list(dict.fromkeys(spaced.lower().split()))
+    return list(dict.fromkeys(T.tokens_local(text)))
 
 
 def _present_fields(docs: DataFrame) -> dict[str, float]:
@@ -73,51 +68,62 @@ def _term_test(term: str, typos: bool):
     return lambda token: _is_term(token, term, typos)
 
 
-def term_frequencies(docs: DataFrame, terms: list[str], typos: bool = False) -> DataFrame:
-    """Adds ``_tf``: per term the field-weighted number of occurrences."""
-    fields = _present_fields(docs)
-    for f in fields:
-        docs = docs.withColumn(f"_tok_{f}", T.tokens(F.coalesce(F.col(f), F.lit(""))))
-    counts = []
-    for term in terms:
-        parts = [
-            F.size(F.filter(f"_tok_{f}", _term_test(term, typos))) * w for f, w in fields.items()
-        ]
-        counts.append(reduce(lambda a, b: a + b, parts).cast("double"))
-    return docs.withColumn("_tf", F.array(*counts) if counts else F.array().cast("array<double>")).drop(
-        *[f"_tok_{f}" for f in fields]
-    )
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and projections refer to but never repeat.
+
+    The optimizer pushes a filter on a computed column below its projection and evaluates the expression
+    again there. The output of a generator is left alone, so costly scores go through a one-row ``inline``.
+    """
+    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
 
+def term_frequencies(docs: DataFrame, terms: list[str], typos: bool = False) -> Column:
+    """Per term the field-weighted number of occurrences, each field tokenized once."""
+    fields = _present_fields(docs)
 
-def inverse_frequencies(with_tf: DataFrame, n_terms: int) -> list[Column]:
-    """Per-term idf out of one scalar subquery (a single row of ``n_terms`` numbers)."""
-    counts = with_tf.agg(
-        F.array(
-            *[
-                F.coalesce(
-                    F.try_divide(
-                        F.count(F.lit(1)).cast("double"),
-                        F.sum((F.get("_tf", F.lit(i)) > 0).cast("double")),
-                    ),
-                    F.lit(0.0),
-                )
-                for i in range(n_terms)
+    def count(token_lists: Column) -> Column:
+        counts = []
+        for term in terms:
+            parts = [
+                F.size(F.filter(token_lists[f], _term_test(term, typos))) * w for f, w in fields.items()
             ]
-        ).alias("ratio")
-    )
-    ratios = counts.scalar()
-    return [F.log1p(F.get(ratios, F.lit(i))) for i in range(n_terms)]
+            counts.append(reduce(lambda a, b: a + b, parts).cast("double"))
+        return F.array(*counts)
+
+    lists = F.struct(*[T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    return V.bound(lists, count)
 
 
-def keyword_scores(docs: DataFrame, terms: list[str], typos: bool = False) -> DataFrame:
-    """R2: adds ``keyword_score``; idf comes from all given documents."""
+def mentions(docs: DataFrame, terms: list[str]) -> Column:
+    """Cheap necessary condition for an exact term match: the term occurs as a substring."""
+    tests = [F.lower(F.coalesce(F.col(f), F.lit(""))).contains(t) for f in _present_fields(docs) for t in terms]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def inverse_ratios(docs: DataFrame, terms: list[str], typos: bool) -> Column:
+    """N / df per term as one scalar subquery (a single row of ``len(terms)`` numbers)."""
+    found = docs if typos else docs.filter(mentions(docs, terms))
+    rows = computed_once(found, _tf=term_frequencies(docs, terms, typos))
+    total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    df = [F.sum((F.get("_tf", F.lit(i)) > 0).cast("double")) for i in range(len(terms))]
+    ratios = F.array(*[F.coalesce(F.try_divide(total, n), F.lit(0.0)) for n in df])
+    return rows.agg(ratios.alias("ratio")).scalar()
+
+
+def keyword_scores(
+    docs: DataFrame, found: DataFrame, terms: list[str], typos: bool = False, only_hits: bool = False
+) -> DataFrame:
+    """R2: adds ``keyword_score`` to ``found``; idf comes from all ``docs``."""
     if not terms:
-        return docs.withColumn("keyword_score", F.lit(0.0))
-    with_tf = term_frequencies(docs, terms, typos)
-    idf = inverse_frequencies(with_tf.select("_tf"), len(terms))
-    parts = [F.get("_tf", F.lit(i)) * weight for i, weight in enumerate(idf)]
-    score = reduce(lambda a, b: a + b, parts)
-    return with_tf.withColumn("keyword_score", score).drop("_tf")
+        return found.withColumn("keyword_score", F.lit(0.0))
+    if only_hits and not typos:
+        found = found.filter(mentions(docs, terms))
+    rows = computed_once(
+        found, _tf=term_frequencies(docs, terms, typos), _ratio=inverse_ratios(docs, terms, typos)
+    )
+    parts = [F.get("_tf", F.lit(i)) * F.log1p(F.get("_ratio", F.lit(i))) for i in range(len(terms))]
+    return rows.withColumn("keyword_score", reduce(lambda a, b: a + b, parts)).drop("_tf", "_ratio")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -166,9 +172,7 @@ def postings_scores(index: DataFrame, n_documents: Column, terms: list[str], typ
 def semantic_scores(docs: DataFrame, vector: list[float], embedding: str = "embedding") -> DataFrame:
     """Adds ``semantic_score`` = cosine with the query vector."""
     length = sum(v * v for v in vector) ** 0.5
-    return docs.withColumn(
-        "semantic_score", V.cosine(F.col(embedding), V.literal(vector), length)
-    )
+    return computed_once(docs, semantic_score=V.cosine(F.col(embedding), V.literal(vector), length))
 
 
 def boost(query: SearchQuery) -> Column:
@@ -216,8 +220,9 @@ def score_documents(
         found = semantic_scores(query.filters.apply(docs), vector)
         return found.withColumn("score", F.col("semantic_score"))
     if index is None:
-        # idf is that of the whole collection; the filter moves below the scoring projection
-        scored = query.filters.apply(keyword_scores(docs, terms, query.max_typos))
+        # idf is that of the whole collection, whatever the filter
+        found = query.filters.apply(docs)
+        scored = keyword_scores(docs, found, terms, query.max_typos, query.mode == "keyword")
     else:
         total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
         kw = postings_scores(index, total, terms, query.max_typos)
@@ -299,7 +304,7 @@ def fuzzy_search(
     code_type: str | None = None,
 ) -> DataFrame:
     """Substring and fuzzy token score over names, qualified names and file names."""
-    words = query_tokens_all(text)
+    words = T.tokens_local(text)  # a repeated word scores again
     if language and "language" in symbols.columns:
         symbols = symbols.filter(F.lower("language") == language.lower())
     if code_type:
@@ -316,19 +321,10 @@ def fuzzy_search(
         for source, weight in ((name, 8.0), (qualified, 4.0), (base, 2.0)):
             best = S.best_matches(T.tokens(source), words)
             score = score + F.aggregate(best, F.lit(0.0), lambda total, x: total + x) * weight
-    found = symbols.withColumn("score", F.round(score, 2)).filter(F.col("score") > 0)
+    found = computed_once(symbols, score=F.round(score, 2)).filter(F.col("score") > 0)
     return page(found, limit, 0, F.desc("score"), "id")
 
 
-def query_tokens_all(text: str) -> list[str]:
-    """Query words in order, repeated words kept (each occurrence scores)."""
-    import re
-
-    spaced = re.sub("[^a-zA-Z0-9]", " ", text)
-    spaced = re.sub("([a-z])([A-Z])", r"\1 \2", spaced)
-    return re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", spaced).lower().split()
-
-
 def suggest(docs: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """Names matching a partial query."""
     hits = contains_search(docs, SearchQuery(text, "keyword", limit=min(limit, 20)))
