@@ -43,7 +43,7 @@ def _fuzzy_best(words: list[str], threshold: float):
 
         return token_lists.map(row)
 
-    return best
+    return best.asNondeterministic()
 
 
 def _contained(word: str):

@@ -123,7 +123,7 @@ def smart_spans(lengths: list[int], marked: list[bool], sizes: ChunkSizes) -> li
             start = point
     if points and start < total:
         spans.append(dict(start=start, stop=total, is_tail=True))
-    return spans
+    return spans.asNondeterministic()
 
 
 def _line_lengths(text: Column, limit: int) -> Column:
@@ -137,7 +137,7 @@ def _range_udf(finder, sizes: ChunkSizes):
     def ranges(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda row: finder([int(n) for n in row], sizes) if len(row) else [])
 
-    return ranges
+    return ranges.asNondeterministic()  # never repeated in derived filters
 
 
 def _span_udf(sizes: ChunkSizes):
@@ -150,7 +150,7 @@ def _span_udf(sizes: ChunkSizes):
             ]
         )
 
-    return spans
+    return spans.asNondeterministic()
 
 
 def _pick(lines: Column, first: Column, last: Column) -> Column:

@@ -69,8 +69,8 @@ def compare(spark, con, entry, sf_dir: str) -> dict:
     ]
     report["types"] = odd
     if not report["ok"]:
-        extra = [r for r in a if r not in set(b)][:2]
-        lacking = [r for r in b if r not in set(a)][:2]
+        left, right = set(a), set(b)
+        extra, lacking = sorted(left - right)[:2], sorted(right - left)[:2]
         report["note"] = f"cols {a_cols} {b_cols} n {len(a)} {len(b)} spark {extra} duck {lacking}"[:900]
     return report
 
