@@ -294,7 +294,7 @@ def dependency_star(spark, sf):
 @query(
     "hierarchy", "V18",
     f"""WITH RECURSIVE {CONTAINS}, l AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM contain) WHERE rn <= 20),
-    t(id, parent_id, depth, path) AS (SELECT 'region:' || r_regionkey, NULL, 0, 'region:' || r_regionkey FROM region UNION ALL
+    t(id, parent_id, depth, path) AS (SELECT 'region:' || r_regionkey, CAST(NULL AS VARCHAR), 0, 'region:' || r_regionkey FROM region UNION ALL
       SELECT l.dst, t.id, depth + 1, path || '/' || l.dst FROM t JOIN l ON l.src = t.id WHERE depth < 3)
     SELECT * FROM t""",
 )
