@@ -76,14 +76,14 @@ def chunk_embedding(spark, sf):
 
 def _cache_of_labelled(spark, sf):
     """Cache rows of the labelled documents, keyed by whole-text hash."""
-    d = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    d = D.documents(spark, sf).join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return d.select(
         T.content_hash(F.col("text"), 16).alias("content_hash"), F.col("doc_id").cast("string").alias("unit_id")
     )
 
 
 def _probes(spark, sf):
-    return D.table(spark, sf, "documents").select(
+    return D.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), T.content_hash(F.col("text"), 16).alias("content_hash")
     )
 
@@ -103,7 +103,7 @@ def cache_missing(spark, sf):
     AND {_H} IN (SELECT {_H} FROM documents WHERE lang = 'en')""",
 )
 def cache_lookup(spark, sf):
-    d = D.table(spark, sf, "documents").filter("lang = 'en'")
+    d = D.documents(spark, sf).filter("lang = 'en'")
     wanted = d.select(T.content_hash(F.col("text"), 16).alias("content_hash"))
     return EC.lookup(_cache_of_labelled(spark, sf), wanted).select("content_hash", "unit_id")
 

@@ -89,7 +89,7 @@ def impact_texts(spark, sf):
     SELECT doc_id, CASE WHEN len(t) > 0 THEN 'question ' || array_to_string(t, ' ') ELSE 'question' END AS refined FROM c""",
 )
 def refined_queries(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", P.refined_query(F.lit("question"), F.col("text")).alias("refined"))
+    return D.documents(spark, sf).select("doc_id", P.refined_query(F.lit("question"), F.col("text")).alias("refined"))
 
 
 def _turn_items(spark, sf):
@@ -123,12 +123,15 @@ def user_prompts(spark, sf):
 
 
 def retriever(spark, sf) -> CodeRetriever:
-    """Documents as code, connected by shared file: each document calls the next one of its file."""
+    """Documents as code; each document calls the one numbered after it."""
     embedder = MockEmbedder(64)
     docs = D.document_units(spark, sf)
-    w = Window.partitionBy("file_path").orderBy("id")
-    nxt = docs.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).filter("dst is not null")
-    calls = nxt.select("src", "dst", F.lit("calls").alias("edge_type"))
+    ids = D.documents(spark, sf).select("doc_id")
+    linked = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi")
+    calls = linked.select(
+        F.col("doc_id").cast("string").alias("src"), (F.col("doc_id") + 1).cast("string").alias("dst"),
+        F.lit("calls").alias("edge_type"),
+    )
     nodes = docs.select("id", "name", "qualified_name", F.col("code_type").alias("node_type"), "file_path", "line_start", "line_end")
     with_vectors = docs.withColumn("embedding", embedder.column(F.col("content")))
     return CodeRetriever(with_vectors, nodes, calls, embedder=embedder, settings=RetrievalSettings(semantic_threshold=0.3))

@@ -306,6 +306,6 @@ def min_score_hits(spark, sf):
     CAST(len(regexp_extract_all(text, '(nation|the)', 0, 'i')) AS BIGINT) AS hits FROM documents""",
 )
 def highlight(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     marked = T.highlighted(F.col("text"), ["the", "nation"])
     return d.select("doc_id", F.md5(marked).alias("marked"), F.regexp_count(marked, F.lit("<mark>")).cast("bigint").alias("hits"))

@@ -26,7 +26,7 @@ EXTENSIONS = [
     CAST(len({tok('text', 2)}) AS INTEGER) AS long_tokens FROM documents""",
 )
 def tokenize(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     t = T.tokens(F.col("text"))
     return d.select(
         "doc_id", F.size(t).alias("tokens"), F.md5(F.array_join(t, " ")).alias("digest"),
@@ -40,7 +40,7 @@ def tokenize(spark, sf):
     md5(source || ':' || doc_id || ':' || n_chars) AS quick FROM documents""",
 )
 def content_hashes(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     return d.select(
         "doc_id", T.content_hash(F.col("text")).alias("full_hash"), T.content_hash(F.col("text"), 16).alias("short_hash"),
         T.document_key(F.col("doc_id").cast("string")).alias("doc_key"),
@@ -55,7 +55,7 @@ def content_hashes(spark, sf):
     SELECT doc_id, round(e[1] / l, 6) AS first, round(e[33] / l, 6) AS wrapped, round(e[40] / l, 6) AS last, len(e) AS dims FROM n""",
 )
 def mock_embedding(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", V.mock_embedding(F.col("text"), 40).alias("e"))
+    d = D.documents(spark, sf).select("doc_id", V.mock_embedding(F.col("text"), 40).alias("e"))
     return d.select(
         "doc_id", F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.get("e", F.lit(32)), 6).alias("wrapped"),
         F.round(F.get("e", F.lit(39)), 6).alias("last"), F.size("e").cast("bigint").alias("dims"),
@@ -68,7 +68,7 @@ def mock_embedding(spark, sf):
     CAST(sum(length(text) // 4) AS BIGINT) AS estimate FROM documents GROUP BY lang""",
 )
 def token_totals(spark, sf):
-    d = embed(D.table(spark, sf, "documents"), F.col("text"), MockEmbedder(32))
+    d = embed(D.documents(spark, sf), F.col("text"), MockEmbedder(32))
     return d.groupBy("lang").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("token_count").alias("total_tokens"),
         F.sum(T.token_estimate(F.col("text"))).alias("estimate"),
@@ -101,7 +101,7 @@ def file_languages(spark, sf):
     CAST(len(list_filter(r, lambda x: x = '')) AS INTEGER) AS blank_lines, CAST(len(r) AS INTEGER) AS all_lines FROM l""",
 )
 def line_metrics(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     total = T.line_count(F.lit(1), F.size(T.lines(F.col("text"))))
     return d.select("doc_id", *M.line_counts(F.col("text")), total.alias("all_lines"))
 
@@ -174,7 +174,7 @@ def index_documents(spark, sf):
     FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
 def hit_defaults(spark, sf):
-    rows = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left")
+    rows = D.documents(spark, sf).join(D.table(spark, sf, "labels"), "doc_id", "left")
     none = F.lit(None).cast("string")
     raw = rows.select(
         F.col("doc_id").cast("string").alias("id"), none.alias("name"), none.alias("qualified_name"),
@@ -191,7 +191,7 @@ def hit_defaults(spark, sf):
     'd/' || doc_id || '.py' AS file_path, 'python' AS language FROM documents""",
 )
 def graph_to_documents(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     path = F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".py"))
     files = d.select(path.alias("file_path"), F.col("text").alias("content"))
     nodes = d.select(
@@ -212,7 +212,7 @@ def graph_to_documents(spark, sf):
     SELECT (SELECT count(*) FROM j) AS total_documents, * FROM f""",
 )
 def field_distribution(spark, sf):
-    rows = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left")
+    rows = D.documents(spark, sf).join(D.table(spark, sf, "labels"), "doc_id", "left")
     return M.field_distribution(rows)
 
 

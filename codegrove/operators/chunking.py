@@ -123,7 +123,7 @@ def smart_spans(lengths: list[int], marked: list[bool], sizes: ChunkSizes) -> li
             start = point
     if points and start < total:
         spans.append(dict(start=start, stop=total, is_tail=True))
-    return spans.asNondeterministic()
+    return spans
 
 
 def _line_lengths(text: Column, limit: int) -> Column:

@@ -121,20 +121,33 @@ def node_info() -> list[Column]:
 def at_position(nodes: DataFrame, positions: DataFrame, innermost: bool = False) -> DataFrame:
     """For each (file_path, line) the node whose span holds the line.
 
-    The equi-key is the file; the range test runs inside the join. The choice among candidates is a
-    partially aggregated ``min_by``: first in the file, or the narrowest when ``innermost``.
+    A range join without pairing whole files: a span of up to 2^k lines is stored under the one or two
+    blocks of 2^k lines it touches, and a line looks into its block at each size that occurs. Only spans
+    of about the right size next to the line are compared. The choice among the hits is a partially
+    aggregated ``min_by``: first in the file, or the narrowest when ``innermost``.
     """
-    spans = nodes.select(
-        "file_path", "id", "line_start", "line_end",
-        F.struct(
-            (F.col("line_end") - F.col("line_start") if innermost else F.lit(0)).alias("w"),
-            F.col("line_start").alias("s"), F.col("id").alias("i"),
-        ).alias("rank"),
+    width = F.col("line_end") - F.col("line_start")
+    level = F.when(width < 1, 0).otherwise(F.ceil(F.log2(width + 1))).cast("int")
+    rank = F.struct(
+        (width if innermost else F.lit(0)).alias("w"), F.col("line_start").alias("s"), F.col("id").alias("i")
     )
-    lines = positions.select("file_path", "line").distinct()
+    spans = nodes.filter(F.col("line_end") >= F.col("line_start")).select(
+        "file_path", "id", "line_start", "line_end", rank.alias("rank"), level.alias("level")
+    )
+
+    def block(line: Column) -> Column:
+        return F.floor(line / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+
+    stored = spans.withColumn(
+        "block", F.explode(F.array_distinct(F.array(block(F.col("line_start")), block(F.col("line_end")))))
+    )
+    # at most 32 different sizes exist, whatever the data
+    sizes = spans.agg(F.collect_set("level")).scalar()
+    lines = positions.select("file_path", "line").distinct().withColumn("level", F.explode(sizes))
+    lines = lines.withColumn("block", block(F.col("line")))
     inside = (F.col("line_start") <= F.col("line")) & (F.col("line") <= F.col("line_end"))
     return (
-        lines.join(spans, "file_path")
+        lines.join(stored, ["file_path", "level", "block"])
         .filter(inside)
         .groupBy("file_path", "line")
         .agg(F.min_by("id", "rank").alias("id"))

@@ -157,6 +157,9 @@ def scan_references(
     lines = candidates.select(
         "file_path", "language", F.posexplode(T.lines(F.col("content"))).alias("at", "raw")
     )
+    # cheap substring tests first: only such lines can match one of the patterns below
+    stem = base.rsplit(".", 1)[0].lower()
+    lines = lines.filter(F.col("raw").contains("(") | F.lower("raw").contains(stem))
     php = F.col("language") == "php"
     includes = F.when(php, _hits(F.col("raw"), patterns["php"])).otherwise(_hits(F.col("raw"), patterns["other"]))
     called = F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\b(\w+)\s*\("), F.lit(1)))

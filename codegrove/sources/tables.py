@@ -19,9 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input too small to be split into enough partitions.
+
+    Decided by the size Catalyst knows: inputs that fill every core with full-size splits (any large
+    table) are returned unchanged, so nothing is shuffled at scale.
+    """
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size < cores * split else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cores when it is small."""
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as search units; the language decides the unit type."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"),
@@ -163,18 +181,25 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transition_edges(spark: SparkSession, sf_dir: str, by_week: bool = True) -> DataFrame:
     """Weighted cyclic digraph: each user's next event, summed over all users.
 
-    States are event types, split by calendar week when ``by_week``. Windows are per user; the
-    pairs are pre-aggregated before the shuffle by the sum.
+    States are event types, split by calendar week when ``by_week``. A busy user's history is cut by
+    day: successors are found inside each (user, day), and the days of a user are linked through their
+    first and last state, so no task orders one user's whole history.
     """
     from pyspark.sql import Window
 
-    ev = table(spark, sf_dir, "events")
     state = F.col("event_type")
     if by_week:
         week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("int")
         state = F.concat(F.col("event_type"), F.lit("@"), week)
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = ev.select(state.alias("src"), F.lead(state).over(order).alias("dst"))
+    ev = table(spark, sf_dir, "events").select(
+        "user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("at"), state.alias("src")
+    )
+    inside = ev.withColumn("dst", F.lead("src").over(Window.partitionBy("user_id", "day").orderBy("at")))
+    days = ev.groupBy("user_id", "day").agg(
+        F.min_by("src", "at").alias("first"), F.max_by("src", "at").alias("src")
+    )
+    across = days.withColumn("dst", F.lead("first").over(Window.partitionBy("user_id").orderBy("day")))
+    pairs = inside.select("src", "dst").unionByName(across.select("src", "dst"))
     return (
         pairs.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
         .groupBy("src", "dst")
