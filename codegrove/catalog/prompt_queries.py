@@ -125,6 +125,7 @@ def user_prompts(spark, sf):
 def retriever(spark, sf) -> CodeRetriever:
     """Documents as code; each document calls the one numbered after it."""
     embedder = MockEmbedder(64)
+    stage = Stage(spark, "assistant")
     docs = D.document_units(spark, sf)
     ids = D.documents(spark, sf).select("doc_id")
     linked = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi")
@@ -133,8 +134,9 @@ def retriever(spark, sf) -> CodeRetriever:
         F.lit("calls").alias("edge_type"),
     )
     nodes = docs.select("id", "name", "qualified_name", F.col("code_type").alias("node_type"), "file_path", "line_start", "line_end")
-    with_vectors = docs.withColumn("embedding", embedder.column(F.col("content")))
-    return CodeRetriever(with_vectors, nodes, calls, embedder=embedder, settings=RetrievalSettings(semantic_threshold=0.3))
+    # a stored index: vectors are computed once, not per question
+    indexed = stage.table(docs.withColumn("embedding", embedder.column(F.col("content"))))
+    return CodeRetriever(indexed, stage.table(nodes), stage.table(calls), embedder=embedder, settings=RetrievalSettings(semantic_threshold=0.3))
 
 
 @query("retrieve_local", "G1 G2 G5 G12 J20 T10 F32")

@@ -27,7 +27,7 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, key) if size < cores * split else df
 
