@@ -229,7 +229,7 @@ def ego_graph_budget(spark, sf):
     "shortest_path", "V8 V12 T5",
     f"""WITH RECURSIVE {EDGES}, st AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('contains', 'calls')),
     b(id, depth) AS (SELECT 'nation:1', 0 UNION SELECT s.dst, depth + 1 FROM b JOIN st s ON s.src = b.id WHERE depth < 4)
-    SELECT CAST(min(depth) AS INTEGER) AS hops, CAST(min(depth) AS DOUBLE) AS total_weight, 'nation:1' AS first, 'part:77' AS last FROM b WHERE id = 'part:77'""",
+    SELECT CAST(min(depth) AS INTEGER) AS hops, CAST(min(depth) AS DOUBLE) AS total_weight, 'nation:1' AS first, 'part:77' AS last FROM b WHERE id = 'part:77' HAVING count(*) > 0""",
 )
 def shortest_path(spark, sf):
     p = V.shortest_path(D.order_edges(spark, sf), "nation:1", "part:77", ("contains", "calls"))
