@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import language_codes, quality_model, sampling, toxicity_crf
+from codegrove.llm import language_codes, packing, prefix_bpe, quality_model, sampling, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,35 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents in their sequences, with a checksum of the ids of each."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        packed = packing.pack(docs, file.read(), public_tokenizers.PATTERN)
+    sums = packed.tokens.select("task", "row", F.crc32("ids").alias("ids_crc32"))
+    return packed.pieces.join(sums, ["task", "row"]).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query
+def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; digests of both."""
+    ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = prefix_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    both = prefix_bpe.decode(tokens, ranks, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the fold that is held out."""
