@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import language_codes, packing, prefix_bpe, quality_model, sampling, topk_search, toxicity_crf
+from codegrove.llm import language_codes, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,16 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <
 """
 
 
+@query
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of a decision list learned from the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 @query
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""

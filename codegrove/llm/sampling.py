@@ -19,11 +19,10 @@ def held_out(id_column: str, parts: int, remainder: int) -> Column:
     return F.coalesce(fold(id_column, parts) == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, values: list, per_value: int) -> list[tuple]:
-    """(doc_id, text, label) of at most ``per_value`` documents of each label value, ordered by a hash of the id.
+def sample_ids(docs: DataFrame, labels: DataFrame, label: str, values: list, per_value: int) -> DataFrame | None:
+    """``doc_id`` and ``label`` of at most ``per_value`` documents of each label value, first by a hash of the id.
 
-    Ids are ranked without their texts; the texts of the chosen ones are fetched afterwards through a join with this
-    bounded id table. Repeated ids count once.
+    Ids are ranked without their texts. Repeated ids count once; an id with two labels is taken with each.
     """
     ids = docs.filter(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS)).select("doc_id")
     named = labels.select("doc_id", F.col(label).alias("label")).dropna()
@@ -36,8 +35,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, values: list
             .limit(per_value)
         )
         chosen = own if chosen is None else chosen.unionByName(own)
+    return None if chosen is None else chosen.distinct()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, values: list, per_value: int) -> list[tuple]:
+    """(doc_id, text, label) of the bounded sample; texts are fetched by a join with the bounded id table."""
+    chosen = sample_ids(docs, labels, label, values, per_value)
     if chosen is None:
         return []
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
     found = {r.doc_id: (r.doc_id, r.text, r.label) for r in rows if r.text is not None}
     return [found[k] for k in sorted(found)]
