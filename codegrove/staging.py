@@ -8,19 +8,18 @@ known and a large one is shuffled.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="codegrove-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
     return root.rstrip("/")
 
 
@@ -31,6 +30,7 @@ class Stage:
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/codegrove/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[tuple[str, StructType]] = []
 
     def put(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
         """Write ``df`` once; return the table read back and its row count plus ``measures``.
@@ -43,8 +43,15 @@ class Stage:
         aggs = [F.count(F.lit(1)).alias("rows")]
         aggs += [expr.alias(name) for name, expr in measures.items()]
         df.observe(seen, *aggs).write.mode("overwrite").parquet(path)
+        self._paths.append((path, df.schema))
         return self.spark.read.schema(df.schema).parquet(path), seen.get
 
     def table(self, df: DataFrame) -> DataFrame:
         """``put`` without the counters."""
         return self.put(df)[0]
+
+    def release(self) -> None:
+        """Empty the tables written so far, once nothing reads them any more."""
+        for path, schema in self._paths:
+            self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+        self._paths.clear()
