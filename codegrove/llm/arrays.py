@@ -186,3 +186,11 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     keep[short] = True
     return mix(out[keep]), own
 
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

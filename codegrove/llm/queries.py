@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import language_codes, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bag_minhash.classify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned outside the fold that is held out."""
