@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import bag_minhash, language_codes, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay: numbers of lines, and the new text by length and digest."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_kept", F.length("text").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of all documents in their sequences, with a checksum of the ids of each."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
