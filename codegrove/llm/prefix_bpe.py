@@ -21,13 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from codegrove.llm import arrays as A
 
 #: Matches and token pairs that a task remembers before it starts again.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Longer matches, in bytes, are not remembered.
 LONG = 256
 
@@ -134,21 +136,22 @@ class PrefixTable:
         del self.last[size + 1 :]
 
     def _last(self, end: int) -> int:
+        """The longest token that ends at ``end`` and may follow what comes before it."""
         v, data, last = self.vocabulary, self.data, self.last
-        ranks, tails, pairs = v.ranks, v.tails, v._pairs
-        fitting = []
-        for start in range(end - 1, -1, -1):
-            part = data[start:end]
-            if part in ranks:
-                fitting.append((ranks[part], start))
-            elif part not in tails:
-                break
-        for token, start in reversed(fitting):
-            if start == 0:
-                return token
-            fits = pairs.get((last[start], token))
-            if fits or (fits is None and v.side_by_side(last[start], token)):
-                return token
+        ranks, pairs = v.ranks, v._pairs
+        far = 0
+        if end > 12:  # how far back a token can reach
+            far = end - 1
+            while far and end - far < v.longest and data[far - 1 : end] in v.tails:
+                far -= 1
+        for start in range(far, end):
+            token = ranks.get(data[start:end])
+            if token is not None:
+                if not start:
+                    return token
+                fits = pairs.get((last[start], token))
+                if fits or (fits is None and v.side_by_side(last[start], token)):
+                    return token
         raise ValueError("the vocabulary lacks a byte")
 
     def replace(self, at: int, removed: int, inserted: bytes) -> int:
@@ -190,17 +193,26 @@ class TextEncoder:
 
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
+        tokens = [self.vocabulary.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self._sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one entry more than texts)."""
         pieces = [list(map(str.encode, self.split(t))) for t in texts]
-        known = self.vocabulary.ids(list(chain.from_iterable(pieces)))
-        out = [list(chain.from_iterable(map(known.__getitem__, own))) for own in pieces]
-        for piece in [p for own in pieces for p in own if len(p) > LONG]:
-            known.pop(piece, None)
-        return out
+        together = list(chain.from_iterable(pieces))
+        known = self.vocabulary.ids(together)
+        found = list(map(known.__getitem__, together))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
+        for piece in together:
+            if len(piece) > LONG:
+                known.pop(piece, None)
+        return ids, ends[np.append(0, np.cumsum([len(p) for p in pieces], dtype=np.int64))]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def append(self, text: str, ids: list[int], more: str) -> list[int]:
         """Ids of ``text + more``, given those of ``text``: only its last match can change, as all others saw what follows them."""
@@ -211,7 +223,13 @@ class TextEncoder:
         return ids[: len(ids) - len(self.encode(last))] + self.encode(last + more)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        return self.decode_all(np.asarray(ids, dtype=np.int32)).tobytes()
+
+    def decode_all(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        start, size = self._starts[ids], self._sizes[ids]
+        end = np.cumsum(size)
+        return self._bytes[np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 @dataclass(frozen=True)
@@ -254,10 +272,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         for batch in batches:
             texts = A.text_column(batch)
             for chunk in A.chunks(texts):
-                ids = encoder.encode_all(texts.slice(chunk.lo, chunk.rows).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.lo, chunk.rows), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
-                )
+                ids, offsets = encoder.encode_all(texts.slice(chunk.lo, chunk.rows).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.rows), lists], ["doc_id", "ids"])
 
     narrow = docs.select("doc_id", "text")
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -272,8 +289,14 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFram
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                decoded = [encoder.decode(ids or []) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                lists = part.column(1)
+                ids = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int32)
+                counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+                bytes_to = np.append(0, np.cumsum(encoder._sizes[ids]))[np.append(0, np.cumsum(counts, dtype=np.int64))]
+                decoded = pa.Array.from_buffers(
+                    pa.binary(), len(counts), [None, pa.py_buffer(bytes_to.astype(np.int32)), pa.py_buffer(encoder.decode_all(ids))]
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "ids", "decoded"])
 
     narrow = tokens.select("doc_id", "ids")
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
