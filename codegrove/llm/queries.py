@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,12 @@ def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document, or an earlier place, has too."""
+    return passage_chains.passages(table(spark, sf_dir, "documents")).drop("key")
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of all documents in their sequences, with a checksum of the ids of each."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
