@@ -169,7 +169,7 @@ def cache_drop_units(spark, sf):
     "embed_pipeline", "G18 J17 S32 F7 A19 T14",
     rf"""WITH RECURSIVE {DOC_UNITS}, {_EMBED_CHUNKS}, known AS (SELECT DISTINCT substr(sha256(text), 1, 16) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
     t AS (SELECT chunk_id, unit_id, substr(sha256(content), 1, 16) AS content_hash, start_line, end_line,
-      'Signature: ' || signature || ' | Name: ' || qualified_name || ' | Type: ' || d.code_type || CASE WHEN docstring <> '' THEN ' | Doc: ' || CASE WHEN length(docstring) > 200 THEN substr(docstring, 1, 200) || '...' ELSE docstring END ELSE '' END || chr(10) || chr(10) || c.content AS full_text
+      'Signature: ' || signature || ' | Name: ' || qualified_name || ' | Type: ' || d.code_type || CASE WHEN docstring <> '' THEN ' | Doc: ' || docstring ELSE '' END || chr(10) || chr(10) || c.content AS full_text
       FROM chunks c JOIN (SELECT id, signature, qualified_name, code_type, docstring FROM doc_units) d ON d.id = c.unit_id)
     SELECT chunk_id, unit_id, content_hash, CAST(start_line AS VARCHAR) AS start_line, CAST(end_line AS VARCHAR) AS end_line,
       CAST(len(list_filter(string_split_regex(full_text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS VARCHAR) AS token_count,

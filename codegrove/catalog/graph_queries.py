@@ -253,11 +253,10 @@ _IMPACT = f"""WITH RECURSIVE {NODES}, {CALLS}, inv AS (SELECT dst AS src, src AS
 
 @query(
     "impact", "V14 U3",
-    f"{_IMPACT} SELECT id, name, distance, CASE distance WHEN 1 THEN 'direct' ELSE 'indirect' END AS impact_type FROM imp ORDER BY distance, name, id LIMIT 100",
+    f"{_IMPACT} SELECT id, name, distance, CASE distance WHEN 1 THEN 'direct' ELSE 'indirect' END AS impact_type FROM imp",
 )
 def impact(spark, sf):
-    rows = V.impact(*graph(spark, sf), "supplier:9", 3).orderBy("distance", "name", "id").limit(100)
-    return rows.select("id", "name", "distance", "impact_type")
+    return V.impact(*graph(spark, sf), "supplier:9", 3).select("id", "name", "distance", "impact_type")
 
 
 @query(
@@ -445,7 +444,7 @@ def communities(spark, sf):
     "community_summary", "A13 A14 G3 V24",
     """WITH t AS (SELECT conv_id, conv_id || ':' || turn AS id, role || '_' || turn AS name, role FROM conversations),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id) AS rn FROM t),
-    m AS (SELECT conv_id, role, count(*) AS n, min(rn) AS a FROM r WHERE rn <= 50 GROUP BY ALL), b AS (SELECT conv_id, arg_max(role, (n, -a)) AS role FROM m GROUP BY 1)
+    m AS (SELECT conv_id, role, count(*) AS n, min(rn) AS a FROM r GROUP BY ALL), b AS (SELECT conv_id, arg_max(role, (n, -a)) AS role FROM m GROUP BY 1)
     SELECT min(id) AS community_id, 'Community ' || min(id) AS name, 'Primarily contains ' || b.role || 's across 1 file(s)' AS description,
     array_to_string(list(r.name ORDER BY rn) FILTER (rn <= 5), ',') AS key_components, count(*) AS size FROM r JOIN b USING (conv_id) GROUP BY conv_id, b.role""",
 )
@@ -487,10 +486,10 @@ def add_remove_nodes(spark, sf):
 
 @query(
     "graph_json", "S14 S15 S21 S22 F31",
-    f"WITH {NODES}, {EDGES} SELECT 'node' AS kind, id AS a, node_type AS b FROM nodes UNION ALL SELECT 'edge', src || '>' || dst, edge_type FROM edges WHERE edge_type <> 'calls'",
+    f"WITH {NODES}, {EDGES} SELECT 'node' AS kind, id AS a, node_type AS b FROM nodes UNION ALL SELECT 'edge', src || '>' || dst, edge_type FROM edges",
 )
 def graph_json(spark, sf):
     nodes, edges = graph(spark, sf)
-    n, e = GS.graph_from_json(GS.graph_to_json(nodes, edges.filter("edge_type <> 'calls'")))
+    n, e = GS.graph_from_json(GS.graph_to_json(nodes, edges))
     rows = n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("node_type").alias("b"))
     return rows.unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("a"), F.col("edge_type").alias("b")))

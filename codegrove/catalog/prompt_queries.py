@@ -17,8 +17,8 @@ from codegrove.sources.models import MockEmbedder
 from codegrove.staging import Stage
 
 _CTX_TEXT = """'[' || upper(code_type) || '] ' || qualified_name || chr(10) || '  File: ' || file_path || ':' || line_start || '-' || line_end || chr(10) || '  Language: ' || language
-  || CASE WHEN docstring <> '' THEN chr(10) || '  Doc: ' || CASE WHEN length(docstring) > 200 THEN substr(docstring, 1, 200) || '...' ELSE docstring END ELSE '' END
-  || chr(10) || '  Code:' || chr(10) || array_to_string(list_transform(list_slice(string_split(content, chr(10)), 1, 30), lambda s: '    ' || s), chr(10))"""
+  || CASE WHEN docstring <> '' THEN chr(10) || '  Doc: ' || docstring ELSE '' END
+  || chr(10) || '  Code:' || chr(10) || array_to_string(list_transform(string_split(content, chr(10)), lambda s: '    ' || s), chr(10))"""
 
 
 @query("context_texts", "F19", f"WITH {DOC_UNITS} SELECT id, md5({_CTX_TEXT}) AS body FROM doc_units")
@@ -84,8 +84,8 @@ def impact_texts(spark, sf):
 
 @query(
     "refined_queries", "F25",
-    r"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''), 1, 50) AS ws FROM documents),
-    c AS (SELECT doc_id, list_slice(list_transform(list_filter(ws, lambda x: regexp_matches(x, '[_().]') AND length(x) > 2), lambda x: trim(x, '.,()[]{}:;')), 1, 5) AS t FROM w)
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+    c AS (SELECT doc_id, list_transform(list_filter(ws, lambda x: regexp_matches(x, '[_().]') AND length(x) > 2), lambda x: trim(x, '.,()[]{}:;')) AS t FROM w)
     SELECT doc_id, CASE WHEN len(t) > 0 THEN 'question ' || array_to_string(t, ' ') ELSE 'question' END AS refined FROM c""",
 )
 def refined_queries(spark, sf):
@@ -114,7 +114,7 @@ def prompt_budget(spark, sf):
 @query(
     "user_prompts", "R15 G9",
     f"""WITH {_ITEMS} SELECT conv_id, md5(chr(10) || '## Relevant Code' || chr(10) || chr(10) || array_to_string(list(body ORDER BY pos), chr(10) || chr(10)) || chr(10) || chr(10) || chr(10)
-      || '## Question' || chr(10) || chr(10) || 'What is this' || chr(10) || chr(10) || 'Please provide a clear, accurate answer based on the code context above.' || chr(10)) AS prompt FROM kept GROUP BY conv_id""",
+      || '## Question' || chr(10) || chr(10) || 'What is this' || chr(10) || chr(10) || 'Answer only from what is shown above.' || chr(10)) AS prompt FROM kept GROUP BY conv_id""",
 )
 def user_prompts(spark, sf):
     rows = prompting.within_budget(_turn_items(spark, sf), 12, 300, ["conv_id"])

@@ -31,7 +31,7 @@ def keyword_contains(spark, sf):
     f"""WITH {DOC_UNITS} SELECT id, name, language, code_type, line_end FROM doc_units
     WHERE contains(lower(content), 'and') AND language IN ('en', 'de') AND code_type IN ('function', 'class')
       AND line_start >= 1 AND line_end <= 40 AND regexp_full_match(file_path, 'src.*') AND NOT regexp_full_match(file_path, 'src1.*')
-    ORDER BY id LIMIT 100""",
+    ORDER BY id LIMIT 500""",
 )
 def keyword_filtered(spark, sf):
     flt = SearchFilter(("en", "de"), ("function", "class"), 1, 40, ("src*",), ("src1*",))

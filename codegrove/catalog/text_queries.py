@@ -136,9 +136,9 @@ def code_metrics(spark, sf):
       '# File: ' || file_path || chr(10) || '# ' || code_type || ': ' || qualified_name || chr(10) || '# Signature: ' || signature
         || CASE WHEN trim(docstring) <> '' THEN chr(10) || '# ' || trim(docstring) ELSE '' END AS head,
       'Signature: ' || signature || ' | Name: ' || qualified_name || ' | Type: ' || code_type
-        || CASE WHEN docstring <> '' THEN ' | Doc: ' || CASE WHEN length(docstring) > 200 THEN substr(docstring, 1, 200) || '...' ELSE docstring END ELSE '' END AS line FROM doc_units)
+        || CASE WHEN docstring <> '' THEN ' | Doc: ' || docstring ELSE '' END AS line FROM doc_units)
     SELECT id, md5(head) AS head, md5(line) AS line, md5(head || chr(10) || chr(10) || content) AS embedded,
-    md5(signature || CASE WHEN docstring <> '' THEN ' ' || docstring ELSE '' END || ' ' || substr(content, 1, 2000)) AS unit_text FROM h""",
+    md5(signature || CASE WHEN docstring <> '' THEN ' ' || docstring ELSE '' END || ' ' || content) AS unit_text FROM h""",
 )
 def context_headers(spark, sf):
     c = F.col
@@ -159,7 +159,7 @@ def _as_units(spark, sf):
 
 @query(
     "index_documents", "P25 F11 F31",
-    f"""WITH {DOC_UNITS} SELECT id, md5(id) AS doc_key, code_type, md5(CASE WHEN length(content) > 10000 THEN substr(content, 1, 10000) || '...' ELSE content END) AS content,
+    f"""WITH {DOC_UNITS} SELECT id, md5(id) AS doc_key, code_type, md5(content) AS content,
     signature, md5(docstring) AS docstring FROM doc_units""",
 )
 def index_documents(spark, sf):

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from codegrove.functions import text as T
 from codegrove.sources.models import Embedder, embed
 
-CONTENT_LIMIT = 10_000
 
-
-def documents_of(units: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """P25: one document per unit; the searchable content is cut at 10,000 characters by definition."""
+def documents_of(units: DataFrame, embedder: Embedder | None = None, content_limit: int | None = None) -> DataFrame:
+    """P25: one document per unit. The whole content is searchable, unless ``content_limit`` cuts it."""
+    content = F.col("content") if content_limit is None else T.truncated(F.col("content"), content_limit)
     meta = F.to_json(F.struct("decorators", "base_classes", "parent_id"))
     rows = units
     if embedder is not None:
@@ -23,7 +22,7 @@ def documents_of(units: DataFrame, embedder: Embedder | None = None) -> DataFram
     return rows.select(
         "id", T.document_key(F.col("id")).alias("doc_key"), "name", "qualified_name",
         F.col("type").alias("code_type"), "file_path", "line_start", "line_end",
-        T.truncated(F.col("content"), CONTENT_LIMIT).alias("content"), "language",
+        content.alias("content"), "language",
         F.coalesce("signature", F.lit("")).alias("signature"),
         F.coalesce("docstring", F.lit("")).alias("docstring"),
         F.col("embedding").cast("array<float>").alias("embedding"), meta.alias("metadata"),

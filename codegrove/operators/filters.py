@@ -59,7 +59,7 @@ class SearchFilter:
 
 @dataclass(frozen=True)
 class SearchQuery:
-    """A request; limit is kept in [1, 100] and offset at 0 or more."""
+    """A request; the limit is what the caller asks for, at least 1, and the offset 0 or more."""
 
     text: str
     mode: str = "hybrid"  # keyword | semantic | hybrid
@@ -78,7 +78,7 @@ class SearchQuery:
     max_typos: bool = False
 
     def __post_init__(self):
-        object.__setattr__(self, "limit", min(max(self.limit, 1), 100))
+        object.__setattr__(self, "limit", max(self.limit, 1))
         object.__setattr__(self, "offset", max(self.offset, 0))
 
     @property

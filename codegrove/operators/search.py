@@ -327,7 +327,7 @@ def fuzzy_search(
 
 def suggest(docs: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """Names matching a partial query."""
-    hits = contains_search(docs, SearchQuery(text, "keyword", limit=min(limit, 20)))
+    hits = contains_search(docs, SearchQuery(text, "keyword", limit=limit))
     return hits.select("id", "name", "qualified_name", F.col("code_type").alias("type"))
 
 

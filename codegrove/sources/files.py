@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codegrove.functions import text as T
 from codegrove.operators.filters import (
-    any_glob, any_name, skipped_in_hash, skipped_in_index, validate_path,
+    HASH_SKIPPED_PARTS, SKIPPED_PARTS, any_glob, any_name, skipped_in_hash, skipped_in_index, validate_path,
 )
 
 SOURCE_GLOB = "*.{py,php}"
@@ -22,15 +22,21 @@ def _path():
 
 
 def binary_files(
-    spark: SparkSession, paths: str | Sequence[str], glob: str = "*", recursive: bool = True
+    spark: SparkSession, paths: str | Sequence[str], glob: str = "*", recursive: bool = True, skip: Sequence[str] = ()
 ) -> DataFrame:
-    """Raw scan: (file_path, modified, size, content)."""
+    """Raw scan: (file_path, modified, size, content).
+
+    Files with one of the ``skip`` parts in their path are left out when files are listed, by a filter on the file's metadata, so they are
+    not opened at all.
+    """
     for path in [paths] if isinstance(paths, str) else paths:
         if not validate_path(path):
             raise ValueError(f"unsafe path: {path}")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     reader = reader.option("recursiveFileLookup", "true" if recursive else "false")
     rows = reader.load([paths] if isinstance(paths, str) else list(paths))
+    if skip:
+        rows = rows.filter(~T.mentions_any(F.col("_metadata.file_path"), skip))
     return rows.select(
         _path().alias("file_path"), F.col("modificationTime").alias("modified"),
         F.col("length").alias("size"), "content",
@@ -39,13 +45,18 @@ def binary_files(
 
 def source_files(
     spark: SparkSession, paths: str | Sequence[str], glob: str = SOURCE_GLOB, recursive: bool = True,
-    languages: Sequence[str] | None = None, exclude: Sequence[str] = (),
+    languages: Sequence[str] | None = None, exclude: Sequence[str] = (), only: DataFrame | None = None,
 ) -> DataFrame:
     """(file_path, content) of source files; excluded folders, globs and languages left out.
 
-    Path tests come before the content is decoded, so skipped files are never read.
+    Excluded folders are not opened. With ``only`` (file_path), just these files are opened: their names go to the driver, which lists
+    files in any case.
     """
-    rows = binary_files(spark, paths, glob, recursive).filter(~skipped_in_index(F.col("file_path")))
+    if only is not None:
+        paths = sorted(r.file_path for r in only.select("file_path").distinct().collect())
+        if not paths:
+            return spark.createDataFrame([], "file_path string, content string")
+    rows = binary_files(spark, paths, glob, recursive, SKIPPED_PARTS).filter(~skipped_in_index(F.col("file_path")))
     if exclude:
         rows = rows.filter(~any_glob(F.col("file_path"), exclude))
     if languages:
@@ -62,7 +73,7 @@ def file_hashes(
     spark: SparkSession, directory: str, patterns: Sequence[str] = ("*",), exclude: Sequence[str] = ()
 ) -> DataFrame:
     """(file_path, content_hash, mtime, size) of a directory tree."""
-    rows = binary_files(spark, directory)
+    rows = binary_files(spark, directory, skip=HASH_SKIPPED_PARTS)
     if tuple(patterns) != ("*",):
         rows = rows.filter(any_name(F.col("file_path"), patterns))
     rows = rows.filter(~skipped_in_hash(F.col("file_path"), exclude))

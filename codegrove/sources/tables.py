@@ -19,22 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input too small to be split into enough partitions.
-
-    Decided by the size Catalyst knows: inputs that fill every core with full-size splits (any large
-    table) are returned unchanged, so nothing is shuffled at scale.
-    """
-    spark = df.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if size < cores * split else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, spread over the cores when it is small."""
-    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:

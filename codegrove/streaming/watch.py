@@ -78,14 +78,14 @@ def change_sink(path: str, order: str = "timestamp") -> Handler:
     return run
 
 
-def index_sink(index: DocumentIndex) -> Handler:
-    """Parse the files of a batch and replace their documents in one step of the index."""
+def index_sink(index: DocumentIndex, stream: str = "watch") -> Handler:
+    """Parse the files of a batch and replace their documents in one step of the index, named by stream and batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         latest = batch.groupBy("file_path").agg(F.max_by("content", "modified").alias("content"))
         _, units = extract(latest)
         index.change(
-            upserts=documents_of(units), deleted_files=latest.select("file_path"), seq=batch_id
+            upserts=documents_of(units), deleted_files=latest.select("file_path"), step=f"{stream}-{batch_id}"
         )
 
     return run
@@ -122,13 +122,11 @@ def refresh(spark: SparkSession, directory: str, state_path: str, index: Documen
         counts = {r.status: r["count"] for r in plan.groupBy("status").count().collect()}  # three rows
         if counts:
             changed = plan.filter(F.col("action") == "index").select("file_path")
-            texts = source_files(spark, directory).join(changed, "file_path", "left_semi")
+            texts = source_files(spark, directory, only=changed)
             _, units = extract(texts)
             index.change(upserts=documents_of(units), deleted_files=plan.select("file_path"))
             kept = current.select("file_path", "content_hash", "mtime", "size")
-            stale = f"{state_path}.next"
-            save_state(kept, stale)
-            save_state(spark.read.parquet(stale), state_path)
+            save_state(kept, state_path)
         plan.unpersist()
         return {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
     finally:

@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,18 +51,65 @@ def test_index_steps_are_idempotent(spark, tmp_path):
     index = DocumentIndex(spark, f"{tmp_path}/ix")
     rows = spark.createDataFrame([("1", "f", "x"), ("2", "g", "y")], "id string, file_path string, content string")
     assert index.documents().count() == 0
-    index.change(upserts=rows, seq=0)
-    index.change(upserts=rows.withColumn("content", F.lit("new")).filter("id = '1'"), deleted_files=rows.select("file_path"), seq=1)
-    index.change(upserts=rows.withColumn("content", F.lit("new")).filter("id = '1'"), deleted_files=rows.select("file_path"), seq=1)
+    index.change(upserts=rows, step="s-0")
+    index.change(upserts=rows.withColumn("content", F.lit("new")).filter("id = '1'"), deleted_files=rows.select("file_path"), step="s-1")
+    index.change(upserts=rows.withColumn("content", F.lit("new")).filter("id = '1'"), deleted_files=rows.select("file_path"), step="s-1")
+    assert index.versions() == [0, 1]
     assert [(r.id, r.content) for r in index.documents().collect()] == [("1", "new")]
     index.update(spark.createDataFrame([("1", "renamed")], "id string, name string"))
     assert index.get("1").first()["name"] == "renamed" and index.get("1").first().content == "new"
     index.compact()
-    assert len(index.versions()) == 1 and index.documents().count() == 1
+    assert index.versions() == [] and index.documents().count() == 1
+    index.change(upserts=rows, step="s-1")  # folded already
+    assert index.documents().count() == 1 and index.versions() == []
     index.delete_where(F.col("file_path") == "f")
     assert index.documents().count() == 0
 
 
+def test_streaming_after_compaction_loses_nothing(spark, tmp_path):
+    """Batches, a fold, and more batches of the same stream: every document stays."""
+    src, index = f"{tmp_path}/src", DocumentIndex(spark, f"{tmp_path}/ix")
+    for n in range(4):
+        write(f"{src}/f{n}.py", f"def f{n}():\n    return {n}\n")
+        W.wait(W.start(W.file_stream(spark, src), W.index_sink(index), f"{tmp_path}/cp"))
+        if n == 2:
+            index.compact()
+        assert {r["name"] for r in index.documents().collect()} == {f"f{k}" for k in range(n + 1)}
+
+
+def test_a_broken_fold_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "f", "x"), ("2", "g", "y")], "id string, file_path string, content string")
+    index = DocumentIndex(spark, f"{tmp_path}/ix")
+    index.change(upserts=rows)
+    index.change(deleted_ids=rows.filter("id = '1'"))
+    os.makedirs(f"{tmp_path}/ix/base=2")  # begun, not complete
+    assert [r.id for r in index.documents().collect()] == ["2"]
+    index.compact()
+    index.change(upserts=rows.filter("id = '1'"))
+    assert sorted(r.id for r in index.documents().collect()) == ["1", "2"]
+
+
+def test_state_is_read_whole(spark, tmp_path):
+    one = spark.createDataFrame([("a", "h")], "file_path string, content_hash string")
+    GS.save_state(one, f"{tmp_path}/s")
+    os.makedirs(f"{tmp_path}/s/state=7")  # a writer died here
+    assert [r.file_path for r in GS.load_state(spark, f"{tmp_path}/s").collect()] == ["a"]
+    GS.save_state(GS.load_state(spark, f"{tmp_path}/s").withColumn("file_path", F.lit("b")), f"{tmp_path}/s")
+    assert [r.file_path for r in GS.load_state(spark, f"{tmp_path}/s").collect()] == ["b"]
+
+
+def test_skipped_files_are_not_opened(spark, tmp_path):
+    write(f"{tmp_path}/p/a.py", "x = 1\n")
+    write(f"{tmp_path}/p/node_modules/b.py", "y = 1\n")
+    df = FS.source_files(spark, f"{tmp_path}/p")
+    assert [r.file_path.rsplit("/", 1)[1] for r in df.collect()] == ["a.py"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = FS.source_files(spark, f"{tmp_path}/p")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    # a filter on the file's own path is applied when files are listed
+    assert re.search(r"DataFilters: \[.*Contains\(file_path#\d+, node_modules\)", plan)
+
+
 def test_watch_and_refresh(spark, tmp_path):
     src = f"{tmp_path}/src"
     write(f"{src}/a.py", "def a():\n    return 1\n")
