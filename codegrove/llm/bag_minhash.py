@@ -192,7 +192,11 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
         return overlaps(left, right, s.words) >= s.similarity
 
-    roots = neighbours.classes(stage, _bucket_rows(docs, s), texts_of, similar)
+    def counts(texts: pa.Array) -> np.ndarray:
+        chunk = A.whole(texts)
+        return neighbours.count_places(chunk.rows, *bags(chunk, s.words))
+
+    roots = neighbours.classes(stage, _bucket_rows(docs, s), texts_of, similar, counts, s.similarity)
     # a text without words is its own class row by row, and is left out here
     rooted = texts.filter("worded").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
     heads = stage.table(rooted.groupBy("root").agg(F.min("first").alias("head")))

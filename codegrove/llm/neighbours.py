@@ -9,8 +9,9 @@ candidates. Buckets may be huge, so pairs are not simply formed:
    and are wide.
 3. Pairs are verified exactly; verified links are joined by union-find.
 4. Wide buckets whose keys are not all in one component meet again: with a few drawn keys at first, as these unite most of what belongs together, and
-   finally every key outside the bucket's largest component with every key of another component. So no candidate pair of
-   two components is left out, and pairs within a component, which can add nothing, are not formed.
+   finally every key outside the bucket's largest component with every key of another component. These meet in blocks: a task compares
+   hashed counts of two blocks of texts, which bound their overlap from above, and gives only the pairs that can be similar. So no
+   candidate pair of two components is left out, and pairs within a component, which can add nothing, are not formed.
 
 Two different texts of one 64-bit key would pass as equal; among n texts that is expected n * n / 2**65 times.
 """
@@ -32,6 +33,10 @@ BUCKETS = "kind int, hot boolean, bucket long, a long, b long"
 #: Key tables of at most this many rows (16 bytes each) are sent to all tasks; larger ones are joined by shuffle.
 SENT_KEYS = 1_000_000
 
+#: Places of the hashed counts, and keys in a block of a wide bucket.
+PLACES, BLOCK = 512, 256
+#: Texts -> hashed counts of their features, texts x PLACES; the sums of the smaller counts bound the overlap of two texts.
+Counts = Callable[[pa.Array], np.ndarray]
 #: (texts of the left sides, texts of the right sides) -> which pairs are similar; runs inside tasks.
 Similar = Callable[[pa.Array, pa.Array], np.ndarray]
 
@@ -137,6 +142,52 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: Similar) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def count_places(rows: int, row: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Hashed counts from (row, 64-bit feature, weight)."""
+    at = row * PLACES + (feature % np.uint64(PLACES)).astype(np.int64)
+    return np.bincount(at, weights=weight, minlength=rows * PLACES).reshape(rows, PLACES)
+
+
+def _counted(texts: DataFrame, counts: Counts) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                grid = np.minimum(counts(part.column(1).cast(pa.large_string())), 4e9).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in grid], pa.binary())], ["key", "counts"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, counts binary")
+
+
+def _possible(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of two components in a wide bucket whose counts allow for the similarity. ``members``: bucket, main, size, key, root, counts."""
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    rows = F.collect_list(F.struct("key", "root", "counts"))
+    outside = members.filter("root <> main").groupBy("bucket", block).agg(rows.alias("outside")).select("bucket", "outside")
+    others = members.groupBy("bucket", "main", block).agg(rows.alias("others")).select("bucket", "main", "others")
+
+    def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grid = np.frombuffer(b"".join(r["counts"] for r in rows), dtype="<u4").reshape(len(rows), -1)
+        return np.array([r["key"] for r in rows]), np.array([r["root"] for r in rows]), np.minimum(grid, 1 << 30).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                main = batch.column(1)[r].as_py()
+                a, a_root, x = side(batch.column(0)[r].as_py())
+                b, b_root, y = side(batch.column(2)[r].as_py())
+                x_all, y_all = x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)
+                left, right = [], []
+                for i in range(len(a)):
+                    most = np.minimum(x[i], y).sum(1, dtype=np.int64)
+                    own = (most >= similarity * (x_all[i] + y_all - most)) & (b_root != a_root[i]) & ((b_root == main) | (a[i] < b))
+                    right.append(b[own])
+                    left.append(np.full(int(own.sum()), a[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return outside.join(others, "bucket").select("outside", "main", "others").mapInArrow(run, "a long, b long")
+
+
 def connected(stage: Stage, links: DataFrame) -> DataFrame:
     """(key, root) of every key in ``links`` (a, b), root the least key of its component.
 
@@ -175,7 +226,10 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
     return labels
 
 
-def classes(stage: Stage, rows: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], similar: Similar, rounds: int = 3) -> DataFrame:
+def classes(
+    stage: Stage, rows: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], similar: Similar, counts: Counts, similarity: float,
+    rounds: int = 3,
+) -> DataFrame:
     """(key, root) of every key that is similar to another.
 
     ``rows``: from ``bucket_rows``. ``texts_of(keys, n)``: the texts (key, text) of ``n`` keys (key).
@@ -193,16 +247,15 @@ def classes(stage: Stage, rows: DataFrame, texts_of: Callable[[DataFrame, int],
     while not last:
         own = wide.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
         sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        mixed, open_buckets = stage.put(mixed.select("bucket", F.col("main.root").alias("main")))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
+        mixed, open_buckets = stage.put(mixed.filter("roots > 1").select("bucket", F.col("main.root").alias("main"), "size"))
         if not open_buckets["rows"]:
             break
         members = stage.table(own.join(mixed, "bucket"))
         last = drawn >= rounds
         if last:
-            one = members.filter("root <> main").select("bucket", F.col("key").alias("a"), F.col("root").alias("a_root"))
-            two = members.select("bucket", F.col("key").alias("b"), F.col("root").alias("b_root"), "main")
-            new = one.join(two, "bucket").filter("a_root <> b_root and (b_root = main or a < b)")
+            counted = _counted(texts.join(members.select("key").distinct(), "key", "left_semi"), counts)
+            new = _possible(members.join(stage.table(counted), "key"), similarity)
         else:
             pick = F.min(F.struct(F.xxhash64("key", F.lit(drawn)).alias("h"), F.col("key"), F.col("root"))).alias("pick")
             picks = stage.table(members.groupBy("bucket").agg(pick).select("bucket", F.col("pick.key").alias("a"), F.col("pick.root").alias("a_root")))
