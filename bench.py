@@ -29,9 +29,11 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = os.environ.get("BENCH_CHECKPOINT_DIR", os.path.join(os.getcwd(), "spark-warehouse", "staged"))
     spark = get_session(
         "bench", f"local[{cpus}]",
-        {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        {"spark.checkpoint.dir": shared,
+         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
          "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"},
     )
     entries = load_all()

@@ -98,7 +98,7 @@ def cache_missing(spark, sf):
 
 
 @query(
-    "cache_lookup", "J18 I19 I22 I23",
+    "cache_lookup", "J18",
     f"""SELECT {_H} AS content_hash, CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
     AND {_H} IN (SELECT {_H} FROM documents WHERE lang = 'en')""",
 )
@@ -153,13 +153,13 @@ def cache_put(spark, sf):
 
 
 @query(
-    "cache_drop_units", "I21 I22",
+    "cache_drop_units", "I21",
     """SELECT CAST(event_id AS VARCHAR) AS chunk_id, CASE WHEN event_type = 'view' THEN TIMESTAMP '2024-01-25 12:00:00' ELSE ts END AS accessed_at FROM events
-    WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 30)""",
+    WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""",
 )
 def cache_drop_units(spark, sf):
     ev = D.table(spark, sf, "events")
-    gone = ev.filter("event_type = 'error' and value > 30").select(F.col("user_id").cast("string").alias("unit_id"))
+    gone = ev.filter("event_type = 'error' and value > 150").select(F.col("user_id").cast("string").alias("unit_id"))
     used = ev.filter("event_type = 'view'").select(F.md5(F.concat_ws(":", "user_id", "event_type")).alias("content_hash"))
     rows = EC.touch(EC.drop_units(_event_cache(spark, sf), gone), used, F.lit(_NOW).cast("timestamp"))
     return rows.select("chunk_id", F.col("accessed_at").cast("timestamp_ntz").alias("accessed_at"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrove.catalog.carriers import CALLS, CONTAINS, EDGES, INHERITS, NODES, TRANSITIONS
@@ -11,6 +14,7 @@ from codegrove.operators import graph_build as B
 from codegrove.operators import graph_lookup as L
 from codegrove.operators import metrics as M
 from codegrove.operators import traversal as V
+from codegrove.plans.retrieval import CodeRetriever
 from codegrove.sources import graph_store as GS
 from codegrove.sources import tables as D
 from codegrove.staging import Stage
@@ -39,7 +43,7 @@ def edges_by_type(spark, sf):
 
 
 @query(
-    "node_and_edge_lookup", "P6 P8 P9 P10 P11 S31 P22",
+    "node_and_edge_lookup", "P6 P10 P11",
     f"""WITH {NODES}, {EDGES} SELECT 'node' AS kind, id, name AS detail FROM nodes WHERE id = 'nation:3'
     UNION ALL SELECT 'edge', src || '>' || dst, edge_type FROM edges WHERE src = 'customer:1' AND dst = (SELECT 'nation:' || c_nationkey FROM customer WHERE c_custkey = 1)""",
 )
@@ -54,7 +58,7 @@ def node_and_edge_lookup(spark, sf):
 
 
 @query(
-    "list_nodes", "P15 P21 P23 T13",
+    "list_nodes", "P15 P23 T13",
     f"WITH {NODES} SELECT id, name, qualified_name, node_type, file_path, 1 AS line_start FROM nodes WHERE node_type = 'function' AND file_path = 'parts/brand#7.py' ORDER BY id LIMIT 20 OFFSET 10",
 )
 def list_nodes(spark, sf):
@@ -73,7 +77,7 @@ def list_edges(spark, sf):
 
 
 @query(
-    "list_files", "P17 P18",
+    "list_files", "P17",
     f"WITH {NODES} SELECT file_path, count(*) AS units FROM nodes WHERE file_path IN (SELECT DISTINCT file_path FROM nodes WHERE regexp_full_match(file_path, 'customers/1.*') ORDER BY file_path LIMIT 100) GROUP BY 1",
 )
 def list_files(spark, sf):
@@ -260,7 +264,7 @@ def impact(spark, sf):
 
 
 @query(
-    "impact_summary", "V13 V14 A8",
+    "impact_summary", "V14 A8",
     f"""{_IMPACT} SELECT count(*) AS total_affected, count(*) FILTER (distance = 1) AS direct_count, count(*) FILTER (distance > 1) AS indirect_count,
     count(DISTINCT file_path) AS files_affected, round(least(1.0, sum(CASE node_type WHEN 'class' THEN 2.0 WHEN 'module' THEN 3.0 ELSE 1.0 END)::DOUBLE / ((SELECT count(*) FROM nodes) * 0.5::DOUBLE)), 3) AS impact_score FROM imp""",
 )
@@ -305,10 +309,30 @@ def hierarchy(spark, sf):
 
 @query(
     "by_relationship", "J22",
-    f"WITH {CALLS} SELECT DISTINCT dst AS id, 0.8::DOUBLE AS score FROM calls WHERE src = 'part:21'",
+    f"""WITH {CALLS}, {NODES}, r AS (SELECT 'callees' AS relationship, dst AS id FROM calls WHERE src = 'part:21' UNION SELECT 'callers', src FROM calls WHERE dst = 'part:21'
+      UNION SELECT 'ancestors', 'nation:' || c_nationkey FROM customer WHERE c_custkey = 7
+      UNION SELECT 'descendants', 'customer:' || c_custkey FROM customer WHERE c_nationkey = 3
+      UNION SELECT 'siblings', 'nation:' || n_nationkey FROM nation WHERE n_nationkey <> 3 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)
+      UNION SELECT 'self', 'part:21')
+    SELECT relationship, id, 0.8::DOUBLE AS score FROM r JOIN nodes USING (id)""",
 )
 def by_relationship(spark, sf):
-    return V.callees(*graph(spark, sf), "part:21", 1).select("id", F.lit(0.8).alias("score"))
+    """Every relationship a question can ask for, through the retriever."""
+    stage = Stage(spark, "relationships")
+    nodes, edges = (stage.table(t) for t in graph(spark, sf))
+    texts = nodes.select("id", "name", "qualified_name", F.col("node_type").alias("code_type"), "file_path", "line_start", "line_end").withColumns(
+        {"content": F.lit(""), "language": F.lit(""), "docstring": F.lit("")}
+    )
+    found = CodeRetriever(texts, nodes, edges)
+    asked = [
+        ("part:21", "callees"), ("part:21", "callers"), ("customer:7", "ancestors"), ("nation:3", "descendants"),
+        ("nation:3", "siblings"), ("part:21", "self"),
+    ]
+    rows = [
+        found.by_relationship(code_id, name).select(F.lit(name).alias("relationship"), F.col("code_id").alias("id"), F.col("relevance_score").alias("score"))
+        for code_id, name in asked
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --- components and metrics --------------------------------------------------------------------------
@@ -489,7 +513,9 @@ def add_remove_nodes(spark, sf):
     f"WITH {NODES}, {EDGES} SELECT 'node' AS kind, id AS a, node_type AS b FROM nodes UNION ALL SELECT 'edge', src || '>' || dst, edge_type FROM edges",
 )
 def graph_json(spark, sf):
-    nodes, edges = graph(spark, sf)
-    n, e = GS.graph_from_json(GS.graph_to_json(nodes, edges))
+    """The whole graph through JSON files of a store."""
+    store = GS.GraphStore(spark, f"{Stage(spark, 'json').base}/graphs")
+    store.export_json("orders", *graph(spark, sf))
+    n, e = store.import_json("orders")
     rows = n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("node_type").alias("b"))
     return rows.unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("a"), F.col("edge_type").alias("b")))

@@ -14,6 +14,7 @@ from codegrove.functions import text as T
 from codegrove.operators import metrics as M
 from codegrove.operators import snapshots as N
 from codegrove.sources import tables as D
+from codegrove.sources import graph_store as GS
 from codegrove.sources.index_store import DocumentIndex
 from codegrove.staging import Stage
 from codegrove.streaming import watch as W
@@ -50,7 +51,10 @@ _BOTH = f"""{_CHANGES}, {_snap('a', _EARLY)}, {_snap('b', _LATE)}, diff AS (SELE
 
 @query("snapshot_diff", "J16 U1 S25", f"WITH {_BOTH} SELECT file_path, status FROM diff")
 def snapshot_diff(spark, sf):
-    return N.compare(snapshot(spark, sf, _EARLY), snapshot(spark, sf, _LATE))
+    """The earlier snapshot is saved as the state of a run and read again, as the next run does."""
+    state = f"{Stage(spark, 'state').base}/files"
+    GS.save_state(snapshot(spark, sf, _EARLY).withColumn("mtime", F.col("mtime") / 1e6), state)
+    return N.compare(GS.load_state(spark, state), snapshot(spark, sf, _LATE))
 
 
 @query(
@@ -62,7 +66,7 @@ def update_plan(spark, sf):
 
 
 @query(
-    "watch_events", "U2 I2 S10",
+    "watch_events", "U2 I2",
     f"""WITH {_CHANGES}, l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM ch WHERE ts < TIMESTAMP '{_EARLY}'),
     m AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM ch WHERE ts < TIMESTAMP '{_LATE}'),
     a AS (SELECT path, ts FROM l WHERE rn = 1 AND change_type <> 'deleted'), b AS (SELECT path, ts FROM m WHERE rn = 1 AND change_type <> 'deleted')

@@ -155,7 +155,7 @@ def answer_drift(spark, sf):
 
 
 @query(
-    "answer_prompt_sections", "G9 G10 G11 S33",
+    "answer_prompt_sections", "G10",
     f"""WITH {DOC_UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS rn FROM doc_units)
     SELECT file_path, count(*) AS total_components, md5(array_to_string(list(name || chr(10) || substr(content, 1, 500) ORDER BY id) FILTER (rn <= 10), chr(10) || chr(10))) AS shown FROM r GROUP BY 1""",
 )

@@ -10,7 +10,9 @@ from codegrove.functions import text as T
 from codegrove.operators import search as S
 from codegrove.operators.filters import SearchFilter, SearchQuery
 from codegrove.sources import tables as D
+from codegrove.sources.index_store import StoredPostings
 from codegrove.sources.models import MockEmbedder
+from codegrove.staging import Stage
 
 HYBRID_TEXT = "function the and"
 HYBRID_DIMS = 64
@@ -87,6 +89,12 @@ SELECT id, round(k / (k + 1), 6) AS score FROM s WHERE k > 0 ORDER BY k DESC, id
 _KEYWORD_QUERY = SearchQuery("nation doc The", "keyword", limit=50, highlight=False)
 
 
+def _stored(spark, docs) -> StoredPostings:
+    index = StoredPostings(spark, f"{Stage(spark, 'postings').base}/index")
+    index.write(docs)
+    return index
+
+
 @query("keyword_ranked", "R1 R2", _KEYWORD_SQL)
 def keyword_ranked(spark, sf):
     hits = S.search(D.document_units(spark, sf), _KEYWORD_QUERY)
@@ -96,7 +104,7 @@ def keyword_ranked(spark, sf):
 @query("keyword_postings", "R2 S26 G19", _KEYWORD_SQL)
 def keyword_postings(spark, sf):
     docs = D.document_units(spark, sf)
-    hits = S.search(docs, _KEYWORD_QUERY, index=S.postings(docs))
+    hits = S.routed_search(docs, _KEYWORD_QUERY, index=_stored(spark, docs).of(S.query_tokens(_KEYWORD_QUERY.text)))
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -164,10 +172,10 @@ def similar_exclude(spark, sf):
 @query(
     "duplicates_threshold", "R14",
     f"""SELECT CAST(vec_id AS VARCHAR) AS id, round({_COS}, 6) AS similarity FROM embeddings
-    WHERE vec_id <> 0 AND {_COS} >= 0.5 ORDER BY {_COS} DESC, id LIMIT 50""",
+    WHERE vec_id <> 0 AND {_COS} >= 0.1 ORDER BY {_COS} DESC, id LIMIT 50""",
 )
 def duplicates_threshold(spark, sf):
-    hits = S.duplicates(_vectors(spark, sf), "0", _vector_of(spark, sf, 0), 0.5, 50)
+    hits = S.duplicates(_vectors(spark, sf), "0", _vector_of(spark, sf, 0), 0.1, 50)
     return hits.select("id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -191,7 +199,11 @@ def _hybrid(spark, sf, index=False):
     embedder = MockEmbedder(HYBRID_DIMS)
     docs = D.document_units(spark, sf).withColumn("embedding", embedder.column(F.col("content")))
     q = SearchQuery(HYBRID_TEXT, "hybrid", limit=20, min_score=0.3, highlight=False)
-    hits = S.search(docs, q, embedder.query(q.text), S.postings(docs) if index else None)
+    vector = embedder.query(q.text)
+    if index:
+        hits = S.routed_search(docs, q, vector, index=_stored(spark, docs.drop("embedding")).of(S.query_tokens(q.text)))
+    else:
+        hits = S.search(docs, q, vector)
     return hits.select(
         "id", "name", "code_type", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score")
     )
@@ -293,11 +305,11 @@ def filter_sort_top100(spark, sf):
 
 @query(
     "min_score_hits", "P3 G2",
-    """SELECT CAST(p_partkey AS VARCHAR) AS id, p_retailprice AS score FROM part WHERE p_retailprice >= 1000""",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, p_retailprice AS score FROM part WHERE p_retailprice >= 910""",
 )
 def min_score_hits(spark, sf):
     p = D.table(spark, sf, "part")
-    return S.above(p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_retailprice").alias("score")), 1000)
+    return S.above(p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_retailprice").alias("score")), 910)
 
 
 @query(

@@ -217,7 +217,7 @@ def field_distribution(spark, sf):
 
 
 @query(
-    "path_predicates", "P17 P27 P28 S7 S9",
+    "path_predicates", "P17 P27 P28",
     r"""SELECT page_id, regexp_full_match(url, 'https://.*/en/.*') AS listed,
     (contains(url, 'example.net') OR contains(url, '#top')) AS skipped,
     NOT contains(url, '.org') AND regexp_matches(url, '(^|/)[0-9][^/]*$') AS watched FROM pages""",

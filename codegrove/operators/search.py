@@ -103,9 +103,10 @@ def mentions(docs: DataFrame, terms: list[str]) -> Column:
 
 def inverse_ratios(docs: DataFrame, terms: list[str], typos: bool) -> Column:
     """N / df per term as one scalar subquery (a single row of ``len(terms)`` numbers)."""
-    found = docs if typos else docs.filter(mentions(docs, terms))
-    rows = computed_once(found, _tf=term_frequencies(docs, terms, typos))
-    total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    # documents and hits are counted in one scan; texts without a query word are not tokenized
+    counts = term_frequencies(docs, terms, typos)
+    rows = computed_once(docs, _tf=counts if typos else F.when(mentions(docs, terms), counts))
+    total = F.count(F.lit(1)).cast("double")
     df = [F.sum((F.get("_tf", F.lit(i)) > 0).cast("double")) for i in range(len(terms))]
     ratios = F.array(*[F.coalesce(F.try_divide(total, n), F.lit(0.0)) for n in df])
     return rows.agg(ratios.alias("ratio")).scalar()
@@ -127,7 +128,7 @@ def keyword_scores(
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Inverted index: (term, id, field, tf). Stored bucketed by term, a search reads few rows."""
+    """Inverted index: (term, id, field, tf). ``StoredPostings`` keeps it by parts of the terms' hashes."""
     fields = _present_fields(docs)
     token_lists = F.array(
         *[
@@ -240,8 +241,12 @@ def search(
     docs: DataFrame, query: SearchQuery, vector: list[float] | None = None,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """One plan: filter -> score -> boost -> threshold -> order -> offset/limit -> highlight."""
-    hits = score_documents(docs, query, vector, index)
+    """One plan: filter -> score -> boost -> threshold -> order -> offset/limit -> highlight.
+
+    With an index the documents are ranked without their texts; the texts of the hits are fetched afterwards.
+    """
+    texts = docs.select("id", "content") if index is not None and "content" in docs.columns and not query.dedup else None
+    hits = score_documents(docs if texts is None else docs.drop("content"), query, vector, index)
     if query.mode == "hybrid" and query.rerank:
         hits = reranked(hits, query)
     if query.min_score > 0:
@@ -257,6 +262,10 @@ def search(
     }[query.sort_by]
     keys = [F.desc(c) if query.descending else F.asc(c) for c in order]
     hits = page(hits.select(*keep), query.limit, query.offset, *keys, "id")
+    if texts is not None and query.include_content:
+        # at most ``limit`` rows are sent to the tasks that read the texts
+        fetched = texts.join(F.broadcast(hits), "id")
+        hits = fetched.select(*[c for c in (*HIT_COLUMNS, "base_score") if c in fetched.columns]).orderBy(*keys, "id")
     return with_highlights(hits, query) if query.highlight and query.include_content else hits
 
 

@@ -83,7 +83,8 @@ if __name__ == "__main__":
     wanted = sys.argv[1:]
     session = get_session(
         master="local[8]",
-        extra={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "10g",
+        extra={"spark.checkpoint.dir": os.environ.get("CHECKPOINT_DIR", os.path.join(os.getcwd(), "spark-warehouse", "staged")),
+               "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "10g",
                "spark.ui.showConsoleProgress": "false", "spark.log.level": "OFF"},
     )
     entries = load_all()

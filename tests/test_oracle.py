@@ -6,6 +6,8 @@ from oracle import compare, duck
 from codegrove.catalog import load_all
 
 SF = "/root/testdata/sf0.001"
+#: Queries that SQL cannot express; other tests hold them against plain versions.
+WITHOUT_SQL = {"chunk_smart", "retrieve_local", "answer_drift"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(load_all()))
 def test_query(spark, con, name):
     report = compare(spark, con, load_all()[name], SF)
-    assert report["ok"] is not False, report["note"]
+    assert report["ok"] is True or (report["ok"] is None and name in WITHOUT_SQL), report["note"]
+    assert report["rows"] > 0
 
 
 def test_entry_contract(spark):
