@@ -132,8 +132,7 @@ def position_lookup(spark, sf):
     )
     spans = o.unionByName(inner)
     pos = li.select(path, F.col("l_quantity").cast("int").alias("line"))
-    a = L.at_position(spans, pos, innermost=True).withColumnRenamed("id", "innermost")
-    return a.join(L.at_position(spans, pos).withColumnRenamed("id", "first"), ["file_path", "line"])
+    return L.at_positions(spans, pos)
 
 
 @query(

@@ -119,18 +119,21 @@ def node_info() -> list[Column]:
 
 
 def at_position(nodes: DataFrame, positions: DataFrame, innermost: bool = False) -> DataFrame:
-    """For each (file_path, line) the node whose span holds the line.
+    """For each (file_path, line) the ``id`` of the first node of the file, or the innermost, whose span holds the line."""
+    return at_positions(nodes, positions).select("file_path", "line", F.col("innermost" if innermost else "first").alias("id"))
+
+
+def at_positions(nodes: DataFrame, positions: DataFrame) -> DataFrame:
+    """For each (file_path, line) the ``first`` and the ``innermost`` node whose span holds the line, in one pass.
 
     A range join without pairing whole files: a span of up to 2^k lines is stored under the one or two
     blocks of 2^k lines it touches, and a line looks into its block at each size that occurs. Only spans
     of about the right size next to the line are compared. The choice among the hits is a partially
-    aggregated ``min_by``: first in the file, or the narrowest when ``innermost``.
+    aggregated ``min_by``: first in the file, and the narrowest.
     """
     width = F.col("line_end") - F.col("line_start")
     level = F.when(width < 1, 0).otherwise(F.ceil(F.log2(width + 1))).cast("int")
-    rank = F.struct(
-        (width if innermost else F.lit(0)).alias("w"), F.col("line_start").alias("s"), F.col("id").alias("i")
-    )
+    rank = F.struct(width.alias("w"), F.col("line_start").alias("s"), F.col("id").alias("i"))
     spans = nodes.filter(F.col("line_end") >= F.col("line_start")).select(
         "file_path", "id", "line_start", "line_end", rank.alias("rank"), level.alias("level")
     )
@@ -150,7 +153,7 @@ def at_position(nodes: DataFrame, positions: DataFrame, innermost: bool = False)
         lines.join(stored, ["file_path", "level", "block"])
         .filter(inside)
         .groupBy("file_path", "line")
-        .agg(F.min_by("id", "rank").alias("id"))
+        .agg(F.min_by("id", F.struct("rank.s", "rank.i")).alias("first"), F.min_by("id", "rank").alias("innermost"))
     )
 
 

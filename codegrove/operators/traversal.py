@@ -21,6 +21,9 @@ from codegrove.schemas import DEPENDENCY_EDGES, DEPENDENT_EDGES
 from codegrove.staging import Stage
 
 
+FOLDED = 8
+
+
 @dataclass(frozen=True)
 class TraversalOptions:
     """V7 parameters; ``max_depth`` < 0 means unlimited."""
@@ -49,7 +52,11 @@ def hops(edges: DataFrame, options: TraversalOptions) -> DataFrame:
 
 
 def reach(starts: DataFrame, steps: DataFrame, max_depth: int = -1) -> DataFrame:
-    """(id, depth) of everything reachable from any start (depth 0), by levels."""
+    """(id, depth) of everything reachable from any start (depth 0), by levels.
+
+    Every ``FOLDED`` levels the visited nodes are written as one table, so that a long chain does not read one table per level in
+    every round.
+    """
     stage = Stage(_spark(steps), "reach")
     if max_depth != 1:
         steps = stage.table(steps.select("src", "dst").distinct())
@@ -58,6 +65,8 @@ def reach(starts: DataFrame, steps: DataFrame, max_depth: int = -1) -> DataFrame
     depth = 0
     while seen["rows"] and (max_depth < 0 or depth < max_depth):
         depth += 1
+        if len(levels) > FOLDED:
+            levels = [stage.table(reduce(DataFrame.unionByName, levels))]
         visited = reduce(DataFrame.unionByName, levels)
         ahead = (
             steps.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
@@ -325,8 +334,8 @@ def containment_tree(
     return reduce(DataFrame.unionByName, levels)
 
 
-def outline(units: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Outline rows of every file: roots are units without a parent in their own file.
+def outline(units: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Outline rows of every file: roots are units without a parent in their own file; all levels unless ``max_depth`` is given.
 
     ``sort_path`` orders a file's rows as a tree, children by line; nothing is collected.
     """
@@ -342,11 +351,11 @@ def outline(units: DataFrame, max_depth: int = 20) -> DataFrame:
     level, seen = stage.put(roots.withColumn("depth", F.lit(0)).withColumn("sort_path", F.array("step")))
     inner = stage.table(has_parent)
     levels = [level]
-    while seen["rows"] and len(levels) <= max_depth:
+    while seen["rows"] and (max_depth is None or len(levels) <= max_depth):
         up = level.select(
             "file_path", F.col("id").alias("parent_id"), F.col("depth").alias("d"),
             F.col("sort_path").alias("p"),
-        )
+        ).distinct()  # a unit met twice is one parent
         below = (
             inner.join(up, ["file_path", "parent_id"])
             .withColumn("depth", F.col("d") + 1)
