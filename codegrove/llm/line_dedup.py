@@ -41,7 +41,8 @@ class Settings:
 
     @property
     def multipliers(self) -> np.ndarray:
-        return A.mix(np.arange(1, self.bands * self.band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        drawn = A.mix(np.arange(1, self.bands * self.band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return (drawn >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 @dataclass
@@ -56,18 +57,15 @@ class Lines:
 
 
 def find_lines(chunk: A.Chunk) -> Lines:
-    line_starts, _ = chunk.lines()
-    line_row = np.searchsorted(chunk.offsets, line_starts, side="right") - 1
-    # empty rows share a start with the next row: give each row its own count of lines instead
-    breaks = np.append(0, np.cumsum(chunk.data == 10)) if len(chunk.data) else np.zeros(1, dtype=np.int64)
+    breaks = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+    np.cumsum(chunk.data == 10, out=breaks[1:])
     per_row = breaks[chunk.offsets[1:]] - breaks[chunk.offsets[:-1]] + 1
+    first_line = np.cumsum(per_row) - per_row
     line_row = np.repeat(np.arange(chunk.rows), per_row)
-    number = np.arange(len(line_row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    number = np.arange(len(line_row)) - np.repeat(first_line, per_row)
     word_starts, word_ends = chunk.words()
-    row = chunk.row_of(word_starts)
     # the line of a word: the lines of the rows before its row, and the breaks before it in its row
-    first_line = np.cumsum(per_row) - per_row
-    of = first_line[row] + breaks[word_starts] - breaks[chunk.offsets[row]] if len(row) else row
+    of = np.repeat(first_line - breaks[chunk.offsets[:-1]], chunk.counts(word_starts)) + breaks[word_starts]
     head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=np.int64)
     tail = np.append(head[1:], len(of)) - 1 if len(of) else head
     own = of[head]
@@ -87,10 +85,12 @@ def _grams(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> t
     size = len(codes) - k + 1
     if size <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
-    h = np.zeros(size, dtype=np.uint64)
-    for j in range(k):
-        h *= np.uint64(0x100000001B3)
-        h += codes[j : j + size]
+    # hashes of 1, 2, 4 ... letters, and of k as two overlapping ones
+    h, have = codes.astype(np.uint64), 1
+    while have < k:
+        step = min(have, k - have)
+        h = (h[:-step] ^ (h[:-step] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * have) + h[step:]
+        have += step
     h = A.mix(h)
     counts = np.maximum(ends - starts - k + 1, 0)
     return h[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))], counts
@@ -105,29 +105,37 @@ def _signed(chunk: A.Chunk, lines: Lines, s: Settings) -> tuple[np.ndarray, np.n
     begin = (np.cumsum(counts) - counts)[long]
     bands = np.zeros((int(long.sum()), s.bands), dtype=np.uint64)
     if len(begin):
+        short = (grams >> np.uint64(32)).astype(np.uint32)
         for i, m in enumerate(s.multipliers):
-            least = np.minimum.reduceat(grams * m, begin)
+            least = np.minimum.reduceat(short * m, begin).astype(np.uint64)
             bands[:, i // s.band] = A.mix(bands[:, i // s.band] ^ least ^ np.uint64(i + 1)) * np.uint64(0x2545F4914F6CDD1D)
     return keys[long], bands
 
 
-def jaccard(left: pa.Array, right: pa.Array, letters: int) -> np.ndarray:
-    """Jaccard index of the shingle sets of each pair of lines."""
-    both = pc.dictionary_encode(pa.chunked_array([left, right])).combine_chunks()
-    chunk = A.whole(both.dictionary.cast(pa.large_string()))
+def _gram_sets(texts: pa.Array, letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of all distinct shingles of each text, and where each text's begin."""
+    chunk = A.whole(texts)
     codes, at = _letters(chunk)
     grams, counts = _grams(codes, at[chunk.offsets[:-1]], at[chunk.offsets[1:]], letters)
-    of = np.repeat(np.arange(chunk.rows), counts)
-    order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
-    keep = np.append(True, (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])) if len(of) else np.zeros(0, dtype=bool)
-    of, grams = of[keep], grams[keep]
-    cuts = np.searchsorted(of, np.arange(chunk.rows + 1))
+    # text number and hash in one word sort fast: 2 ** 14 texts at most, 50 bits of hash
+    if chunk.rows > 1 << 14:
+        raise ValueError("too many texts at once")
+    key = np.sort(np.repeat(np.arange(chunk.rows, dtype=np.uint64) << np.uint64(50), counts) | (grams >> np.uint64(14)))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    of = (key >> np.uint64(50)).astype(np.int64)
+    return of, key & np.uint64((1 << 50) - 1), np.searchsorted(of, np.arange(chunk.rows + 1))
+
+
+def jaccard(left: pa.Array, right: pa.Array, letters: int, least: float = 0.0) -> np.ndarray:
+    """Jaccard index of the shingle sets of each pair of lines; 0 where the sizes alone put it below ``least``."""
+    both = pc.dictionary_encode(pa.chunked_array([left, right])).combine_chunks()
+    _, grams, cuts = _gram_sets(both.dictionary.cast(pa.large_string()), letters)
     indices = np.asarray(both.indices)
     out = np.zeros(len(left))
     for i, (x, y) in enumerate(zip(indices[: len(left)].tolist(), indices[len(left) :].tolist())):
         a, b = grams[cuts[x] : cuts[x + 1]], grams[cuts[y] : cuts[y + 1]]
-        if len(a) and len(b):
+        # sets of too different a size cannot be similar
+        if len(a) and len(b) and min(len(a), len(b)) >= least * max(len(a), len(b)):
             common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             out[i] = common / (len(a) + len(b) - common)
     return out
@@ -172,9 +180,13 @@ def _texts(docs: DataFrame) -> DataFrame:
             for chunk in A.chunks(A.text_column(batch, lower=True)):
                 found = find_lines(chunk)
                 keys, first = np.unique(found.keys, return_index=True)
-                data = chunk.data.tobytes()
-                own = [data[a:b].decode("utf-8", "replace") for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own, pa.string())], ["key", "text"])
+                starts, sizes = found.starts[first], (found.ends - found.starts)[first]
+                offsets = np.append(0, np.cumsum(sizes))
+                data = chunk.data[np.repeat(starts - offsets[:-1], sizes) + np.arange(int(offsets[-1]))]
+                own = pa.Array.from_buffers(
+                    pa.string(), len(keys), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), own], ["key", "text"])
 
     return docs.select("text").mapInArrow(run, "key long, text string")
 
@@ -190,9 +202,15 @@ def kept_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return _texts(docs).join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
     def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
-        return jaccard(left, right, s.letters) >= s.similarity
+        return jaccard(left, right, s.letters, s.similarity) >= s.similarity
+
+    def counts(texts: pa.Array) -> np.ndarray:
+        of, grams, _ = _gram_sets(texts, s.letters)
+        return neighbours.count_places(len(texts), of, grams, np.ones(len(of)))
 
-    roots = neighbours.classes(stage, _bucket_rows(docs, s), texts_of, similar)
+    roots = neighbours.classes(stage, _bucket_rows(docs, s), texts_of, similar, counts, s.similarity)
+    roots, linked_keys = stage.put(roots)
+    roots = F.broadcast(roots) if linked_keys["rows"] <= neighbours.SENT_KEYS else roots
     # lines without a similar one are alone in their class: only the others are grouped
     linked = first.join(roots, "key").groupBy("root").agg(F.min("first").alias("first"))
     alone = first.join(roots, "key", "left_anti")

@@ -28,24 +28,25 @@ from pyspark.sql import functions as F
 from codegrove.staging import Stage
 
 SMALL = 4
-MEMBER, PAIR, WIDE = 0, 1, 2
-BUCKETS = "kind int, hot boolean, bucket long, a long, b long"
+#: Kinds of rows: keys of wide buckets of a chunk come before those of small ones when sorted.
+HOT, MEMBER, PAIR, WIDE = 0, 1, 2, 3
+BUCKETS = "kind int, bucket long, a long, b long"
 #: Key tables of at most this many rows (16 bytes each) are sent to all tasks; larger ones are joined by shuffle.
 SENT_KEYS = 1_000_000
 
 #: Places of the hashed counts, and keys in a block of a wide bucket.
-PLACES, BLOCK = 512, 256
+PLACES, BLOCK = 512, 128
+MANY = 65_535
 #: Texts -> hashed counts of their features, texts x PLACES; the sums of the smaller counts bound the overlap of two texts.
 Counts = Callable[[pa.Array], np.ndarray]
 #: (texts of the left sides, texts of the right sides) -> which pairs are similar; runs inside tasks.
 Similar = Callable[[pa.Array, pa.Array], np.ndarray]
 
 
-def _batch(kind: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray, hot: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
-    hot = np.zeros(n, dtype=bool) if hot is None else hot
-    columns = [pa.array(np.full(n, kind, dtype=np.int32)), pa.array(hot), *(pa.array(x.view(np.int64)) for x in (bucket, a, b))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "hot", "bucket", "a", "b"])
+def _batch(kind: int | np.ndarray, bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, dtype=np.int32), len(a))
+    columns = [pa.array(np.ascontiguousarray(kinds)), *(pa.array(x.view(np.int64)) for x in (bucket, a, b))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "a", "b"])
 
 
 def bucket_rows(keys: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,7 @@ def bucket_rows(keys: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatc
     nth = np.arange(len(key)) - np.repeat(start, size)
     wide = np.repeat(size > SMALL, size)
     sent = ~wide | (nth == 0)
-    yield _batch(MEMBER, bucket[sent], key[sent], key[sent], wide[sent])
+    yield _batch(np.where(wide[sent], HOT, MEMBER), bucket[sent], key[sent], key[sent])
     if wide.any():
         yield _batch(WIDE, bucket[wide], key[wide], key[wide])
         a, b = _near_pairs(key, np.repeat(key[start], size), nth, wide)
@@ -88,10 +89,11 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, dtype=np.int64)
     bucket, key, nth, hot, rep = none, none, none, none.astype(bool), none
     for batch in batches:
-        member = batch.column(0).to_numpy() == MEMBER
+        kind = batch.column(0).to_numpy()
+        member = kind <= MEMBER
         if not member.all():
             yield batch.filter(pa.array(~member))
-        own = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False))[member] for i in (2, 3, 1)]
+        own = [batch.column(1).to_numpy()[member], batch.column(2).to_numpy()[member], kind[member] == HOT]
         old = len(key)
         bucket, key, hot = np.append(bucket, own[0]), np.append(key, own[1]), np.append(hot, own[2])
         again = np.append(False, (bucket[1:] == bucket[:-1]) & (key[1:] == key[:-1]))[: len(key)]
@@ -123,7 +125,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Pairs and wide buckets from ``bucket_rows``."""
-    dealt = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", F.desc("hot"), "a")
+    dealt = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "kind", "a")
     return dealt.mapInArrow(_pair_up, BUCKETS)
 
 
@@ -153,7 +155,7 @@ def _counted(texts: DataFrame, counts: Counts) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                grid = np.minimum(counts(part.column(1).cast(pa.large_string())), 4e9).astype("<u4")
+                grid = np.minimum(counts(part.column(1).cast(pa.large_string())), MANY).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in grid], pa.binary())], ["key", "counts"])
 
     return texts.select("key", "text").mapInArrow(run, "key long, counts binary")
@@ -167,8 +169,8 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
     others = members.groupBy("bucket", "main", block).agg(rows.alias("others")).select("bucket", "main", "others")
 
     def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grid = np.frombuffer(b"".join(r["counts"] for r in rows), dtype="<u4").reshape(len(rows), -1)
-        return np.array([r["key"] for r in rows]), np.array([r["root"] for r in rows]), np.minimum(grid, 1 << 30).astype(np.int32)
+        grid = np.frombuffer(b"".join(r["counts"] for r in rows), dtype="<u2").reshape(len(rows), -1).astype(np.int64)
+        return np.array([r["key"] for r in rows]), np.array([r["root"] for r in rows]), grid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +178,14 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
                 main = batch.column(1)[r].as_py()
                 a, a_root, x = side(batch.column(0)[r].as_py())
                 b, b_root, y = side(batch.column(2)[r].as_py())
-                x_all, y_all = x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)
+                x_all, y_all = x.sum(1), y.sum(1)
+                # a count that did not fit bounds nothing
+                x_over, y_over = (x == MANY).any(1), (y == MANY).any(1)
                 left, right = [], []
                 for i in range(len(a)):
-                    most = np.minimum(x[i], y).sum(1, dtype=np.int64)
-                    own = (most >= similarity * (x_all[i] + y_all - most)) & (b_root != a_root[i]) & ((b_root == main) | (a[i] < b))
+                    most = np.minimum(x[i], y).sum(1)
+                    fits = (most >= similarity * (x_all[i] + y_all - most)) | x_over[i] | y_over
+                    own = fits & (b_root != a_root[i]) & ((b_root == main) | (a[i] < b))
                     right.append(b[own])
                     left.append(np.full(int(own.sum()), a[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
@@ -188,8 +193,13 @@ def _possible(members: DataFrame, similarity: float) -> DataFrame:
     return outside.join(others, "bucket").select("outside", "main", "others").mapInArrow(run, "a long, b long")
 
 
-def connected(stage: Stage, links: DataFrame) -> DataFrame:
-    """(key, root) of every key in ``links`` (a, b), root the least key of its component.
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """As many partitions as ``rows`` (a bound known from an earlier count) fill: small tables are not written as hundreds of files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def connected(stage: Stage, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(key, root) of every key in ``links`` (a, b; ``rows`` of them, if known), root the least key of its component.
 
     Every node hangs itself below its least neighbour, paths are halved until all reach a root, links are drawn between roots, and so on until
     none is left. Links of a hub are aggregated in the tasks before they are sent; the tables joined are plain scans, whose skewed
@@ -198,15 +208,18 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     labels = None
     while True:
-        edges, seen = stage.put(edges)
-        if not seen["rows"]:
+        edges, seen = stage.put(edges if rows is None else sized(edges, rows))
+        rows = seen["rows"]
+        if not rows:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = stage.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "key"))
+        parents = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "key")
+        parents, own = stage.put(sized(parents, 2 * rows))
         while True:
             up = parents.select(F.col("key").alias("root"), F.col("root").alias("above"))
+            above = parents.join(up, "root").select("key", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
             parents, seen = stage.put(
-                parents.join(up, "root").select("key", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")),
+                sized(above, own["rows"]),
                 moved=F.count_if(F.col("moved")),
             )
             parents = parents.select("key", "root")
@@ -214,10 +227,10 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
                 break
         to = parents.select(F.col("key").alias("at"), "root")
         if labels is None:
-            labels = parents
+            labels, all_rows = parents, own["rows"]
         else:
             moved = labels.join(to.withColumnRenamed("root", "above"), labels["root"] == F.col("at"), "left")
-            labels = stage.table(moved.select("key", F.coalesce("above", "root").alias("root")))
+            labels = stage.table(sized(moved.select("key", F.coalesce("above", "root").alias("root")), all_rows))
         a, b = (to.select(F.col("at").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
         drawn = edges.join(a, "a").join(b, "b").filter("a_root <> b_root")
         edges = drawn.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
@@ -228,42 +241,49 @@ def connected(stage: Stage, links: DataFrame) -> DataFrame:
 
 def classes(
     stage: Stage, rows: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], similar: Similar, counts: Counts, similarity: float,
-    rounds: int = 3,
+    rounds: int = 1,
 ) -> DataFrame:
     """(key, root) of every key that is similar to another.
 
     ``rows``: from ``bucket_rows``. ``texts_of(keys, n)``: the texts (key, text) of ``n`` keys (key).
     """
-    found = stage.table(candidates(rows))
-    pairs, seen = stage.put(found.filter(F.col("kind") == PAIR).select("a", "b").filter("a <> b").distinct())
-    wide, some = stage.put(found.filter(F.col("kind") == WIDE).select("bucket", F.col("a").alias("key")).distinct())
+    found, n = stage.put(candidates(rows))
+    pairs = found.filter(F.col("kind") == PAIR).select("a", "b").filter("a <> b").distinct()
+    pairs, seen = stage.put(sized(pairs, n["rows"]))
+    wide = found.filter(F.col("kind") == WIDE).select("bucket", F.col("a").alias("key")).distinct()
+    wide, some = stage.put(sized(wide, n["rows"]))
     sides = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(wide.select("key"))
-    keys, count = stage.put(sides.distinct())
-    texts = stage.table(texts_of(keys, count["rows"]))
-    links = stage.table(verified(pairs, texts, similar))
-    roots = connected(stage, links)
+    keys, count = stage.put(sized(sides.distinct(), 2 * seen["rows"] + some["rows"]))
+    texts = stage.table(sized(texts_of(keys, count["rows"]), count["rows"], 5_000))
+    links, linked = stage.put(sized(verified(pairs, texts, similar), seen["rows"], 10_000))
+    roots = connected(stage, links, linked["rows"])
     last = not some["rows"]
     drawn = 0
     while not last:
         own = wide.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
         sizes = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
-        mixed, open_buckets = stage.put(mixed.filter("roots > 1").select("bucket", F.col("main.root").alias("main"), "size"))
+        mixed = mixed.filter("roots > 1").select("bucket", F.col("main.root").alias("main"), "size")
+        mixed, open_buckets = stage.put(sized(mixed, some["rows"]))
         if not open_buckets["rows"]:
             break
-        members = stage.table(own.join(mixed, "bucket"))
+        members = stage.table(sized(own.join(mixed, "bucket"), some["rows"]))
         last = drawn >= rounds
         if last:
             counted = _counted(texts.join(members.select("key").distinct(), "key", "left_semi"), counts)
-            new = _possible(members.join(stage.table(counted), "key"), similarity)
+            counted = stage.table(sized(counted, count["rows"], 5_000))
+            new = _possible(members.join(counted, "key"), similarity)
         else:
             pick = F.min(F.struct(F.xxhash64("key", F.lit(drawn)).alias("h"), F.col("key"), F.col("root"))).alias("pick")
-            picks = stage.table(members.groupBy("bucket").agg(pick).select("bucket", F.col("pick.key").alias("a"), F.col("pick.root").alias("a_root")))
+            picks = members.groupBy("bucket").agg(pick).select("bucket", F.col("pick.key").alias("a"), F.col("pick.root").alias("a_root"))
+            picks = stage.table(sized(picks, open_buckets["rows"]))
             new = members.join(picks, "bucket").filter("a_root <> root").select("a", F.col("key").alias("b"))
         new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more, gained = stage.put(verified(stage.table(new), texts, similar))
+        new, tried = stage.put(new if last else sized(new, some["rows"]))
+        more, gained = stage.put(sized(verified(new, texts, similar), tried["rows"], 10_000))
         drawn = drawn + 1 if gained["rows"] else rounds
         if gained["rows"]:
             links = links.unionByName(more)
-            roots = connected(stage, links)
+            linked["rows"] += gained["rows"]
+            roots = connected(stage, links, linked["rows"])
     return roots
