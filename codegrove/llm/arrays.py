@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as numpy arrays: words, lines, n-grams and their hashes, without Python string objects.
 
-A batch is cut into chunks of a few megabytes of whole texts, so that memory follows the longest text, not the batch.
+A batch is cut into chunks of half a megabyte of whole texts, so that memory follows the longest text, not the batch.
 Words are runs of anything but the six ASCII white-space characters; null texts count as empty.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -62,13 +62,6 @@ class Chunk:
         """Byte ranges of the words."""
         return runs(~SPACE[self.data], self.offsets)
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Byte ranges of the lines, split at line feeds, empty lines included; an empty row has one empty line."""
-        breaks = np.flatnonzero(self.data == 10)
-        starts = np.sort(np.concatenate([self.offsets[:-1], breaks + 1]), kind="stable")
-        ends = np.sort(np.concatenate([self.offsets[1:], breaks]), kind="stable")
-        return starts, ends
-
     def row_of(self, starts: np.ndarray) -> np.ndarray:
         """Row of each position of a non-empty range."""
         return np.searchsorted(self.offsets, starts, side="right") - 1
