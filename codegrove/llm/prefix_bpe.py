@@ -59,7 +59,11 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.tails = {token[i:] for token in ranks for i in range(len(token))}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.reach: dict[bytes, int] = {}  # last three bytes -> length of the longest token that ends so
+        for token in ranks:
+            if len(token) > 2:
+                self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._known: dict[bytes, tuple[int, ...]] = {}
@@ -95,6 +99,39 @@ class Vocabulary:
             else:
                 earlier_than, ties, right = right, True, b[0]
 
+    def ids(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Ids of at least the given matches; what is new is worked out in sorted order, so that equal prefixes are shared."""
+        if len(self._known) >= MEMORY:
+            self._known = {}
+        known, table, before, whole = self._known, PrefixTable(self), b"", self.ranks.get
+        for piece in sorted(set(pieces).difference(known)):
+            token = whole(piece)
+            if token is not None:
+                known[piece] = (token,)
+                continue
+            shared, most = 0, min(len(before), len(piece))
+            while shared < most and before[shared] == piece[shared]:
+                shared += 1
+            table.cut(shared)
+            table.append(piece[shared:])
+            known[piece], before = tuple(table.ids()), piece
+        return known
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        # A merge across the border counts if it came before the merges taken back so far. Of equal ranks the left one is first.
+        earlier_than, ties = None, False
+        while True:
+            across = self.ranks.get(self.bytes[left] + self.bytes[right])
+            if across is not None and (earlier_than is None or across < earlier_than or (ties and across == earlier_than)):
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                earlier_than, ties, left = left, False, a[1]
+            else:
+                earlier_than, ties, right = right, True, b[0]
+
     def ids(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of at least the given matches; what is new is worked out in sorted order, so that equal prefixes are shared."""
         if len(self._known) >= MEMORY:
@@ -127,32 +164,34 @@ class PrefixTable:
         """Add bytes at the end; nothing before them is computed again."""
         start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self._fill(start + 1, len(self.data))
 
     def cut(self, size: int) -> None:
         """Keep the first ``size`` bytes."""
         self.data = self.data[:size]
         del self.last[size + 1 :]
 
-    def _last(self, end: int) -> int:
-        """The longest token that ends at ``end`` and may follow what comes before it."""
+    def _fill(self, first: int, final: int) -> None:
+        """Last tokens of the prefixes ``first`` to ``final``: the longest that ends there and may follow what comes before it."""
         v, data, last = self.vocabulary, self.data, self.last
-        ranks, pairs = v.ranks, v._pairs
-        far = 0
-        if end > 12:  # how far back a token can reach
-            far = end - 1
-            while far and end - far < v.longest and data[far - 1 : end] in v.tails:
-                far -= 1
-        for start in range(far, end):
-            token = ranks.get(data[start:end])
-            if token is not None:
-                if not start:
-                    return token
-                fits = pairs.get((last[start], token))
-                if fits or (fits is None and v.side_by_side(last[start], token)):
-                    return token
-        raise ValueError("the vocabulary lacks a byte")
+        token_of, fitting, reach = v.ranks.get, v._pairs.get, v.reach.get
+        for end in range(first, final + 1):
+            start = end - reach(data[end - 3 : end], 2) if end > 2 else 0
+            if start < 0:
+                start = 0
+            while True:
+                token = token_of(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    left = last[start]
+                    fits = fitting((left, token))
+                    if fits or (fits is None and v.side_by_side(left, token)):
+                        break
+                start += 1
+                if start == end:
+                    raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
 
     def replace(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace bytes; returns how many prefixes were computed again.
@@ -166,8 +205,8 @@ class PrefixTable:
         shift, agreeing, end = len(inserted) - removed, 0, at
         while end < len(self.data):
             end += 1
-            token = self._last(end)
-            self.last.append(token)
+            self._fill(end, end)
+            token = self.last[end]
             behind = end - shift
             settled = end - at - len(inserted) >= self.vocabulary.longest
             agreeing = agreeing + 1 if end > at + len(inserted) and old[behind] == token else 0
@@ -177,12 +216,13 @@ class PrefixTable:
         return end - at
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, last, size = [], len(self.data), self.last, self.vocabulary.sizes
         while end:
-            token = self.last[end]
+            token = last[end]
             out.append(token)
-            end -= len(self.vocabulary.bytes[token])
-        return out[::-1]
+            end -= size[token]
+        out.reverse()
+        return out
 
 
 class TextEncoder:
