@@ -56,7 +56,7 @@ def codewords(n: int) -> np.ndarray:
         return np.ones((n, 1))
     if n <= 6:
         width = 2 ** (n - 1) - 1
-        words = [[1] * width] + [[1 if (b + 1) >> i & 1 else -1 for b in range(width)] for i in range(n - 1)]
+        words = [[1] * width] + [[-1 if (b + 1) >> i & 1 else 1 for b in range(width)] for i in range(n - 1)]
         return np.array(words, dtype=float)
     rng = np.random.default_rng(n)
     width, best, apart = 10 * int(np.ceil(np.log2(n))), None, -1

@@ -83,8 +83,8 @@ def test_marginals_equal_brute_force():
 
 
 def test_spans_give_the_words(spark):
-    words = ["alpha", "beta", "gamma", "delta", "Über", "zeta"]
     rng = np.random.default_rng(0)
+    words = ["Über", *("".join(rng.choice(list("bcdfgklmoprtu"), 6)) for _ in range(800))]
     clean = [" ".join(rng.choice(words, 30)) for _ in range(60)]
     toxic = [t[: len(t) // 2].rsplit(" ", 1)[0] + " nasty " + t[len(t) // 2 :].split(" ", 1)[1] for t in clean]
     model = crf.fit([(i, t, k) for k, texts in enumerate((clean, toxic)) for i, t in enumerate(texts)], 0.5)
