@@ -300,3 +300,15 @@ def test_pipeline_stages_take_effect(spark, awkward):
     for _, step in corpus_pipeline.STAGES:
         step(spark, awkward, SF).count()
         step(spark, awkward.limit(0), SF).count()
+
+
+def test_frequent_halves_do_not_hide_a_verbatim_passage(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"x{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two = new(30), new(30)
+    docs = {d: new(40) + one + new(40) for d in (1, 4, 5, 6)} | {d: new(40) + two + new(40) for d in (2, 7, 8, 9)}
+    docs |= {3: new(20) + one + two + new(20), 10: new(33) + one + two + new(7)}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    for parts in (1, 10):  # all in one chunk, and dealt out
+        rows = passage_chains.passages(frame.repartition(parts)).collect()
+        assert [(r.doc_id, r.start_word, r.end_word, r.other_doc_id, r.other_start_word, r.similarity) for r in rows] == [(10, 33, 93, 3, 20, 1.0)]
