@@ -312,3 +312,25 @@ def test_frequent_halves_do_not_hide_a_verbatim_passage(spark):
     for parts in (1, 10):  # all in one chunk, and dealt out
         rows = passage_chains.passages(frame.repartition(parts)).collect()
         assert [(r.doc_id, r.start_word, r.end_word, r.other_doc_id, r.other_start_word, r.similarity) for r in rows] == [(10, 33, 93, 3, 20, 1.0)]
+
+
+def test_chains_of_unlike_passages_are_cut_at_their_gaps(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"x{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two, short = new(50), new(50), new(25)
+    before = {1: new(9) + one + new(28) + two + new(9), 2: new(9) + two + new(4) + one + short + new(9)}
+    after = {3: new(30) + one + new(28) + two + new(5), 4: one + two, 5: new(3) + one + new(20) + short}
+    for later, text in after.items():
+        docs = {1: before[1] if later < 5 else before[2], later: text}
+        frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+        kept = {r.doc_id: r.text.split() for r in passage_chains.remove_passages(frame).collect()}
+        assert not {*one, *two} & {*kept[later]} if later < 5 else kept[5] == text[:3] + text[53:]
+
+
+def test_parts_of_a_chain():
+    # two stretches of 50 words with 30 other words between them; a part keeps the words that are equal beyond its matches
+    s = passage_chains.Settings()
+    a, b = [*range(130)], [*range(50), *range(1000, 1030), *range(80, 130)]
+    xs = [3, 10, 20, 33, 44, 82, 90, 101, 110, 120]
+    found = sorted(passage_chains.similar_parts(a, xs, b, xs, s))
+    assert found == [(0, 50, 0, 50, 1.0), (80, 130, 80, 130, 1.0)]
