@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, suffix_buckets, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,39 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", sampling.held_out("doc_id", 4, 2).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "spans",
     )
+
+
+@query
+def op11_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that start elsewhere too; digest of what is left."""
+    cut = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_suffix_buckets"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+),
+sizes AS (SELECT row_id, doc_id, digits, length(digits) // 2 AS n_bytes FROM docs),
+strings AS (
+  SELECT row_id, p, md5_number(substr(digits, 2 * p + 1, 400)) AS key
+  FROM (SELECT row_id, digits, unnest(range(n_bytes - 199)) AS p FROM sizes WHERE n_bytes >= 200)
+),
+twice AS (SELECT key FROM strings GROUP BY key HAVING count(*) > 1),
+hits AS (SELECT row_id, p, lag(p) OVER (PARTITION BY row_id ORDER BY p) AS before FROM strings SEMI JOIN twice USING (key)),
+groups AS (
+  SELECT row_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY p) AS g FROM hits
+),
+spans AS (SELECT row_id, g, min(p) AS lo, max(p) + 200 AS hi FROM groups GROUP BY row_id, g),
+gaps AS (
+  SELECT row_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row_id ORDER BY lo), 0) AS from_byte FROM spans
+),
+kept AS (
+  SELECT g.row_id, count(*) AS n_spans, sum(g.hi - g.lo) AS n_removed, max(g.hi) AS last,
+         string_agg(substr(s.digits, 2 * g.from_byte + 1, 2 * (g.lo - g.from_byte)), '' ORDER BY g.lo) AS head
+  FROM gaps g JOIN sizes s USING (row_id) GROUP BY g.row_id
+)
+SELECT s.doc_id, s.n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.head, '') || substr(s.digits, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM sizes s LEFT JOIN kept k USING (row_id)
+"""
