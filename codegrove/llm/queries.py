@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, suffix_buckets, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, spelling_variants, suffix_buckets, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,59 @@ SELECT s.doc_id, s.n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_remove
        sha256(unhex(coalesce(k.head, '') || substr(s.digits, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
 FROM sizes s LEFT JOIN kept k USING (row_id)
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its number of near words, its form and its root."""
+    found = spelling_variants.words(table(spark, sf_dir, "documents"))
+    return spelling_variants.variants(found).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op13_spelling_variants"] = """
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+counted AS (
+  SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, count(*) AS n
+  FROM runs WHERE length(run) >= 7 GROUP BY run, coalesce(CAST(doc_id AS VARCHAR), '')
+),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_concat([4294967295], list_transform(range(1, strlen(named) + 1), lambda i: CAST('0x' || substr(hex(encode(named)), 2 * i - 1, 2) AS BIGINT))),
+           lambda c, x: xor(crc[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))) AS h
+  FROM counted, bits
+),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+),
+less AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+),
+steps AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON s.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN steps s USING (word) JOIN formed r ON s.root = r.word WHERE r.form IS NULL
+"""
