@@ -150,12 +150,12 @@ def op11_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op11_suffix_buckets"] = """
 WITH docs AS (
-  SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+  SELECT row_number() OVER () AS row_id, doc_id, encode(coalesce(text, '')) AS bytes FROM documents
 ),
-sizes AS (SELECT row_id, doc_id, digits, length(digits) // 2 AS n_bytes FROM docs),
+sizes AS (SELECT row_id, doc_id, hex(bytes) AS digits, CAST(octet_length(bytes) AS BIGINT) AS n_bytes FROM docs),
 strings AS (
-  SELECT row_id, p, md5_number(substr(digits, 2 * p + 1, 400)) AS key
-  FROM (SELECT row_id, digits, unnest(range(n_bytes - 199)) AS p FROM sizes WHERE n_bytes >= 200)
+  SELECT row_id, p, md5_number(bytes[p + 1 : p + 200]) AS key
+  FROM (SELECT row_id, bytes, unnest(range(octet_length(bytes) - 199)) AS p FROM docs WHERE octet_length(bytes) >= 200)
 ),
 twice AS (SELECT key FROM strings GROUP BY key HAVING count(*) > 1),
 hits AS (SELECT row_id, p, lag(p) OVER (PARTITION BY row_id ORDER BY p) AS before FROM strings SEMI JOIN twice USING (key)),
