@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, prefix_bpe, quality_model, quality_rules, sampling, spelling_variants, suffix_buckets, topk_search, toxicity_crf
+from codegrove.llm import bag_minhash, language_codes, line_dedup, packing, passage_chains, phrase_mining, prefix_bpe, quality_model, quality_rules, sampling, spelling_variants, suffix_buckets, topk_search, toxicity_crf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,6 +177,54 @@ FROM sizes s LEFT JOIN kept k USING (row_id)
 """
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 most cohesive phrases of every language."""
+    return phrase_mining.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op12_phrase_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS m),
+f AS (
+  SELECT lang, phrase, m, count(*) AS a
+  FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+        FROM words, sizes WHERE len(w) >= m)
+  GROUP BY lang, phrase, m HAVING count(*) >= 100
+),
+candidates AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT c.lang, c.a, unnest(list_transform(range(1, c.m - s.m + 2), lambda i: array_to_string(c.w[i : i + s.m - 1], ' '))) AS phrase
+        FROM candidates c JOIN sizes s ON s.m > 1 AND s.m < c.m)
+  GROUP BY lang, phrase
+),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a
+),
+cuts AS (
+  SELECT lang, phrase, a, w, m, unnest(range(1, m)) AS k FROM kept
+),
+valued AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n,
+         CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ')
+),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM valued),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with its number of near words, its form and its root."""
