@@ -85,8 +85,9 @@ class Filter:
     def of(keys: DataFrame, rows: int) -> Broadcast:
         """Filter of the column ``key``, sized by its number of rows up to the bound, sent to all tasks."""
         bits = 1 << min(max((16 * rows).bit_length(), 10), MAX_BITS)
-        places = F.array(F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))
-        at = keys.select(F.explode(places).alias("place"))
+        places = F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1)
+        first, second = (keys.select(p.alias("place")) for p in places)
+        at = first.unionByName(second)
         one = F.expr("shiftleft(1L, cast(place & 63L as int))")
         table = at.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
         words = np.zeros(bits // 64, dtype=np.uint64)
