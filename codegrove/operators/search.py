@@ -128,7 +128,7 @@ def keyword_scores(
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Inverted index: (term, id, field, tf). ``StoredPostings`` keeps it by parts of the terms' hashes."""
+    """Inverted index: (term, id, field, tf). ``WordIndex`` keeps it, with positions, by parts of the terms' hashes."""
     fields = _present_fields(docs)
     token_lists = F.array(
         *[

@@ -148,32 +148,3 @@ class DocumentIndex:
         for kind, version in old:
             delete_path(self.spark, f"{self.path}/{kind}={version}")
         return seq
-
-
-class StoredPostings:
-    """An inverted index at a path, in ``parts`` folders by a hash of the term.
-
-    A question reads the folders of its words only. ``parts`` is the writer's choice, to be raised with the collection; it is kept in
-    the folder's name, so that readers know it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    @staticmethod
-    def _part(term: Column, parts: int) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
-
-    def write(self, documents: DataFrame, parts: int = 64) -> None:
-        from codegrove.operators.search import postings
-
-        rows = postings(documents).withColumn("part", self._part(F.col("term"), parts))
-        rows.repartition("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/parts={parts}")
-
-    def of(self, terms: list[str]) -> DataFrame:
-        """Postings of exactly these terms."""
-        parts = int(list_children(self.spark, self.path)[0].partition("=")[2])
-        rows = self.spark.read.parquet(f"{self.path}/parts={parts}")
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._part(F.col("term"), parts).alias("p"))
-        numbers = sorted({r.p for r in wanted.collect()})  # one for each word of the question
-        return rows.filter(F.col("part").isin(*numbers) & F.col("term").isin(*terms)).select("term", "id", "field", "tf")

@@ -36,7 +36,3 @@ def make_graph(spark):
         return n, e
 
     return build
-
-
-def ids(df):
-    return {r.id for r in df.select("id").collect()}

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict, deque
 
-from conftest import ids
+from helpers import ids
 
 from codegrove.operators import components as C
 from codegrove.operators import graph_lookup as L

@@ -190,4 +190,4 @@ def test_path_and_globs(spark):
     assert [r.p for r in df.filter(~FL.skipped_in_hash(F.col("p"))).collect()] == ["/a/x.py", "/a/b.txt"]
     assert FL.validate_path("/a/b") and not FL.validate_path("/a/../b") and not FL.validate_path("/c", ["/a"])
     q = FL.SearchQuery("x", limit=1000, offset=-4)
-    assert (q.limit, q.offset) == (100, 0) and FL.SearchFilter().predicate() is None
+    assert (q.limit, q.offset) == (1000, 0) and FL.SearchFilter().predicate() is None
