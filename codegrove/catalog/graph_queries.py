@@ -290,6 +290,32 @@ def impact_summary(spark, sf):
     return V.impact_summary(rows).withColumn("impact_score", score.scalar())
 
 
+def _impact_paths_sql(nodes: int) -> str:
+    """Paths of at most so many nodes from supplier:9 to what depends on it within so many steps."""
+    return f"""WITH RECURSIVE {EDGES}, all_steps AS (SELECT src, dst, 1.0::DOUBLE AS weight FROM edges WHERE src <> dst GROUP BY src, dst),
+    needed AS (SELECT src, dst FROM edges WHERE edge_type IN ('called_by', 'imported_by', 'inherited_by')), {_reach_sql('supplier:9', 'needed', nodes)},
+    targets AS (SELECT id FROM levels WHERE depth > 0),
+    p(id, path, w) AS (SELECT 'supplier:9', ['supplier:9'], 0.0::DOUBLE UNION ALL
+      SELECT t.dst, list_append(path, t.dst), w + weight FROM p JOIN all_steps t ON t.src = p.id WHERE len(path) < {nodes} AND NOT list_contains(path, t.dst)),
+    found AS (SELECT id, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops, w AS total_weight FROM p WHERE id IN (SELECT id FROM targets))"""
+
+
+@query("impact_paths", "V13", f"{_impact_paths_sql(3)} SELECT * FROM found")
+def impact_paths(spark, sf):
+    found = V.impact_paths(*graph(spark, sf), "supplier:9", 3)
+    return found.select("id", F.array_join("path", ">").alias("path"), "hops", "total_weight")
+
+
+@query(
+    "impact_paths_best", "V13",
+    f"""{_impact_paths_sql(4)} SELECT id, path, hops, total_weight FROM
+    (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, string_split(path, '>')) AS n FROM found) WHERE n <= 3""",
+)
+def impact_paths_best(spark, sf):
+    found = V.impact_paths(*graph(spark, sf), "supplier:9", 4, per_node=3)
+    return found.select("id", F.array_join("path", ">").alias("path"), "hops", "total_weight")
+
+
 @query(
     "call_hierarchy", "V16",
     f"""WITH RECURSIVE {CALLS}, inv AS (SELECT dst AS src, src AS dst FROM calls), {_reach_sql('part:5', 'inv', 3)},

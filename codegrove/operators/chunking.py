@@ -247,7 +247,7 @@ def chunk_for_embedding(
     """K6: chunks with line ranges and metadata; a small tail joins the chunk before it."""
     content = F.col("content")
     lines = T.lines(content)
-    ranged = units.withColumn(
+    ranged = units.hint("rebalance").withColumn(
         "_r", _range_udf(embedding_ranges, sizes)(_line_lengths(content, sizes.maximum))
     )
 

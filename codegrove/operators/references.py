@@ -144,7 +144,7 @@ def scan_references(
 ) -> DataFrame:
     """Files that include the target or call one of its units, with scores and first matches.
 
-    Lines are exploded in place; include patterns are counted by regular expressions and unit usages
+    Lines that can match are exploded; include patterns are counted by regular expressions and unit usages
     come from an equi-join of the called names on a line with the target's names, instead of trying
     every name on every file. 10 points per include match, 5 per distinct usage line. Patterns are
     matched line by line. Long lines (over 200 characters) are never treated as repeats.
@@ -154,12 +154,11 @@ def scan_references(
     candidates = files.filter(~F.col("file_path").contains(base)).withColumn(
         "language", F.coalesce(T.parse_language(F.col("file_path")), F.lit("unknown"))
     )
-    lines = candidates.select(
-        "file_path", "language", F.posexplode(T.lines(F.col("content"))).alias("at", "raw")
-    )
-    # cheap substring tests first: only such lines can match one of the patterns below
+    # cheap substring tests inside the array: only such lines can match one of the patterns below, and only they become rows
     stem = base.rsplit(".", 1)[0].lower()
-    lines = lines.filter(F.col("raw").contains("(") | F.lower("raw").contains(stem))
+    numbered = F.transform(T.lines(F.col("content")), lambda raw, at: F.struct(at.alias("at"), raw.alias("raw")))
+    possible = F.filter(numbered, lambda x: x["raw"].contains("(") | F.lower(x["raw"]).contains(stem))
+    lines = candidates.hint("rebalance").select("file_path", "language", F.inline(possible))
     php = F.col("language") == "php"
     includes = F.when(php, _hits(F.col("raw"), patterns["php"])).otherwise(_hits(F.col("raw"), patterns["other"]))
     called = F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\b(\w+)\s*\("), F.lit(1)))

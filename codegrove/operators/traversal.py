@@ -256,18 +256,57 @@ def impact_score(affected: DataFrame, nodes: DataFrame) -> DataFrame:
     return affected.agg(F.round(F.least(F.lit(1.0), share), 3).alias("impact_score"))
 
 
+def paths_to_targets(
+    edges: DataFrame, source: str, targets: DataFrame, max_nodes: int, per_target: int | None = None,
+    types: Sequence[str] | None = None,
+) -> DataFrame:
+    """(id, path, hops, total_weight): the simple paths of at most ``max_nodes`` nodes from ``source`` to all ``targets`` (id) together.
+
+    One enumeration serves all targets, level by level. A partial path is extended only where a target that still wants paths can be reached
+    in the nodes that are left (the targets' common backward distance). With ``per_target`` the shortest paths of each target are kept, of
+    equally long ones the smallest, and a target that has enough of them no longer asks for longer ones.
+    """
+    spark = _spark(edges)
+    stage = Stage(spark, "target-paths")
+    steps = stage.table(_distinct_steps(edges, types))
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    wanted = stage.table(targets.select("id").distinct())
+    frontier, seen = stage.put(_one(edges, source).select("id", F.array("id").alias("path"), F.lit(0.0).alias("total_weight")))
+    done, length, to_go, full = [], 1, None, None
+    while seen["rows"]:
+        arrived = frontier.join(wanted, "id", "left_semi")
+        if per_target is not None:
+            order = Window.partitionBy("id").orderBy("path")
+            had = F.lit(0) if full is None else F.coalesce("n", F.lit(0))
+            arrived = arrived if full is None else arrived.join(full, "id", "left")
+            arrived = arrived.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_target - had)
+        arrived, came = stage.put(arrived.select("id", "path", "total_weight"))
+        done.append(arrived)
+        if length >= max_nodes:
+            break
+        length += 1
+        if to_go is None or (per_target is not None and came["rows"]):
+            if per_target is not None:
+                counts = reduce(DataFrame.unionByName, done).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+                full = stage.table(counts)
+                open_targets = wanted.join(full.filter(F.col("n") >= per_target), "id", "left_anti")
+            else:
+                open_targets = wanted
+            to_go = stage.table(reach(open_targets, back, max_nodes - length).select(F.col("id").alias("dst"), F.col("depth").alias("to_go")))
+        # both sides are plain scans: the edges of a hub are many rows of one key, which Spark splits
+        useful = steps.join(to_go.filter(F.col("to_go") <= max_nodes - length), "dst").select("src", "dst", "weight")
+        ahead = useful.join(frontier.withColumnRenamed("id", "src"), "src").filter(~F.array_contains("path", F.col("dst")))
+        frontier, seen = stage.put(ahead.select(
+            F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), (F.col("total_weight") + F.col("weight")).alias("total_weight")
+        ))
+    return reduce(DataFrame.unionByName, done).select("id", "path", (F.size("path") - 1).alias("hops"), "total_weight")
+
+
 def impact_paths(
-    nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 3, first: int = 10, per_node: int = 3
+    nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 3, per_node: int | None = None
 ) -> DataFrame:
-    """Up to three paths to each of the first ten affected nodes (nearest first)."""
-    affected = dependents(nodes, edges, node_id, max_depth).orderBy("depth", "id").limit(first)
-    frames = [
-        all_paths(edges, node_id, row.id, max_depth).orderBy("hops", "path").limit(per_node)
-        for row in affected.select("id").collect()  # at most ``first`` ids
-    ]
-    if not frames:
-        return all_paths(edges.limit(0), node_id, node_id, 0)
-    return reduce(DataFrame.unionByName, frames)
+    """The paths, of at most ``max_depth`` nodes, to all nodes that a change affects, as (id, path, hops, total_weight)."""
+    return paths_to_targets(edges, node_id, dependents(nodes, edges, node_id, max_depth), max_depth, per_node)
 
 
 def call_hierarchy(
