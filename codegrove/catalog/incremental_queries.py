@@ -6,6 +6,8 @@ Two snapshots are the states of all paths at two moments of that stream.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from codegrove.catalog.carriers import DOC_UNITS
@@ -17,6 +19,7 @@ from codegrove.sources import tables as D
 from codegrove.sources import graph_store as GS
 from codegrove.sources.index_store import DocumentIndex
 from codegrove.staging import Stage
+from codegrove.streaming import changes as C
 from codegrove.streaming import watch as W
 
 _EARLY, _LATE = "2024-01-04 00:00:00", "2024-01-20 00:00:00"
@@ -108,6 +111,70 @@ def stream_latest_change(spark, sf):
     return N.latest_changes(rows, F.struct("timestamp", "event_id")).select("path", "change_type", "event_id")
 
 
+_POLLS = [f"2024-01-{day:02d} 00:00:00" for day in (4, 9, 14, 19, 24)]
+_POLL_GAP = timedelta(days=5)
+
+
+def _polls_sql() -> str:
+    """Changes from each listing to the next; before the first there is none."""
+    snaps = [
+        f"""s{i} AS (SELECT path, ts FROM (SELECT path, ts, change_type, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn
+        FROM ch WHERE ts < TIMESTAMP '{at}') WHERE rn = 1 AND change_type <> 'deleted')"""
+        for i, at in enumerate(_POLLS)
+    ]
+    parts = [f"SELECT path, 'created' AS change_type, TIMESTAMP '{_POLLS[0]}' AS timestamp FROM s0"]
+    parts += [
+        f"""SELECT coalesce(a.path, b.path), CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END, TIMESTAMP '{at}'
+        FROM s{i} a FULL OUTER JOIN s{i + 1} b ON a.path = b.path WHERE a.ts IS DISTINCT FROM b.ts"""
+        for i, at in enumerate(_POLLS[1:])
+    ]
+    return f"WITH {_CHANGES}, {', '.join(snaps)} {' UNION ALL '.join(parts)}"
+
+
+@query("stream_watch_events", "I1 I2 U2", _polls_sql())
+def stream_watch_events(spark, sf):
+    """Listings arrive one after the other; the changes between them come out of the state of each path."""
+    base = Stage(spark, "listings").base
+    schema = "path string, mtime long, at timestamp"
+    with C.rocks(spark):
+        stream = C.detect_changes(spark.readStream.schema(schema).parquet(f"{base}/in/*"), _POLL_GAP)
+        for i, at in enumerate(_POLLS):
+            now = snapshot(spark, sf, at).select(F.col("file_path").alias("path"), "mtime", F.lit(at).cast("timestamp").alias("at"))
+            now.write.parquet(f"{base}/in/{i}")
+            C.drained(stream, f"{base}/out", f"{base}/checkpoint")
+        # a later listing, of nothing that is asked for, moves the time on
+        end = datetime.fromisoformat(_POLLS[-1]) + timedelta(milliseconds=1)
+        spark.createDataFrame([("", 0, end)], schema).write.parquet(f"{base}/in/{len(_POLLS)}")
+        C.drained(stream, f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema(C.CHANGES).parquet(f"{base}/out")
+    return out.filter("path <> ''").select("path", "change_type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+@query(
+    "stream_sessions", "I1 I3",
+    """WITH on_time AS (SELECT * FROM events WHERE event_type <> 'signup'),
+    kept AS (SELECT * FROM on_time UNION ALL SELECT * FROM events WHERE event_type = 'signup' AND ts > (SELECT max(ts) - INTERVAL 2 DAY FROM on_time)),
+    marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 HOUR THEN 0 ELSE 1 END AS new FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM marked)
+    SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 5 HOUR AS ended, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors
+    FROM numbered GROUP BY user_id, n""",
+)
+def stream_sessions(spark, sf):
+    """Sign-ups arrive after everything else, and every second delivery repeats the first: late and repeated events are left out."""
+    base = Stage(spark, "sessions").base
+    events = D.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    stream = C.sessions(spark.readStream.schema(events.schema).parquet(f"{base}/in/*"), "5 hours", "2 days")
+    on_time = events.filter("event_type <> 'signup'")
+    last = F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), last, F.lit("end").alias("event_type"))
+    late = events.filter("event_type = 'signup'").unionByName(on_time)
+    for i, arrived in enumerate((on_time, late, end)):
+        arrived.write.parquet(f"{base}/in/{i}")
+        C.drained(stream, f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema("user_id long, started timestamp, ended timestamp, events long, errors long").parquet(f"{base}/out")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")), "events", "errors")
+
+
 # --- documents --------------------------------------------------------------------------------------
 
 
