@@ -73,9 +73,7 @@ def list_nodes(spark, sf):
 
 @query(
     "list_edges", "P16 T25",
-    f"""WITH {CALLS}, f AS (SELECT DISTINCT src FROM calls ORDER BY src LIMIT 50),
-    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM calls WHERE src IN (SELECT src FROM f))
-    SELECT src, dst, 'calls' AS edge_type FROM r WHERE rn <= 5 ORDER BY src, dst LIMIT 100""",
+    f"""WITH {CALLS} SELECT src, dst, 'calls' AS edge_type FROM calls""",
 )
 def list_edges(spark, sf):
     return L.list_edges(D.order_edges(spark, sf)).select("src", "dst", "edge_type")
@@ -83,11 +81,11 @@ def list_edges(spark, sf):
 
 @query(
     "list_files", "P17",
-    f"WITH {NODES} SELECT file_path, count(*) AS units FROM nodes WHERE file_path IN (SELECT DISTINCT file_path FROM nodes WHERE regexp_full_match(file_path, 'customers/1.*') ORDER BY file_path LIMIT 100) GROUP BY 1",
+    f"WITH {NODES} SELECT file_path, count(*) AS units FROM nodes WHERE file_path IN (SELECT DISTINCT file_path FROM nodes WHERE regexp_full_match(file_path, 'customers/1.*')) GROUP BY 1",
 )
 def list_files(spark, sf):
     nodes = D.order_nodes(spark, sf)
-    files = L.list_files(nodes, "customers/1*", 100)
+    files = L.list_files(nodes, "customers/1*")
     return nodes.join(files, "file_path", "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("units"))
 
 
@@ -143,8 +141,7 @@ def position_lookup(spark, sf):
 @query(
     "expand_local", "J20 J25 J26",
     f"""WITH {CALLS}, ctx AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size >= 40),
-    a AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS rn FROM calls WHERE dst IN (SELECT id FROM ctx)) WHERE rn <= 5),
-    b AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM calls WHERE src IN (SELECT id FROM ctx)) WHERE rn <= 5)
+    a AS (SELECT src, dst FROM calls WHERE dst IN (SELECT id FROM ctx)), b AS (SELECT src, dst FROM calls WHERE src IN (SELECT id FROM ctx))
     SELECT src AS source, dst AS target, src || ' calls ' || dst AS description FROM (SELECT * FROM a UNION SELECT * FROM b)""",
 )
 def expand_local(spark, sf):
@@ -328,7 +325,7 @@ def call_hierarchy(spark, sf):
 
 @query(
     "dependency_star", "V15 J23",
-    f"""WITH {CALLS}, i AS (SELECT src FROM calls WHERE dst = 'part:8' ORDER BY src LIMIT 50), o AS (SELECT dst FROM calls WHERE src = 'part:8' ORDER BY dst LIMIT 50)
+    f"""WITH {CALLS}, i AS (SELECT src FROM calls WHERE dst = 'part:8'), o AS (SELECT dst FROM calls WHERE src = 'part:8')
     SELECT src AS source, 'part:8' AS target FROM i UNION ALL SELECT 'part:8', dst FROM o""",
 )
 def dependency_star(spark, sf):
@@ -337,9 +334,9 @@ def dependency_star(spark, sf):
 
 @query(
     "hierarchy", "V18",
-    f"""WITH RECURSIVE {CONTAINS}, l AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM contain) WHERE rn <= 20),
+    f"""WITH RECURSIVE {CONTAINS}, l AS (SELECT src, dst FROM contain),
     t(id, parent_id, depth, path) AS (SELECT 'region:' || r_regionkey, CAST(NULL AS VARCHAR), 0, 'region:' || r_regionkey FROM region UNION ALL
-      SELECT l.dst, t.id, depth + 1, path || '/' || l.dst FROM t JOIN l ON l.src = t.id WHERE depth < 3)
+      SELECT l.dst, t.id, depth + 1, path || '/' || l.dst FROM t JOIN l ON l.src = t.id)
     SELECT * FROM t""",
 )
 def hierarchy(spark, sf):
@@ -501,10 +498,21 @@ def graph_stats(spark, sf):
 def communities(spark, sf):
     nodes = D.turn_nodes(spark, sf)
     members = Stage(spark, "members").table(C.weak_components(nodes, D.turn_edges(spark, sf)))
-    rows = C.community_list(members, nodes)
+    rows = C.community_list(members, nodes, 5)
     return rows.select("community_id", "size", F.array_join("key_members", ",").alias("key_members"))
 
 
+@query(
+    "community_members", "V24",
+    """WITH t AS (SELECT DISTINCT conv_id, conv_id || ':' || turn AS id FROM conversations), n AS (SELECT DISTINCT conv_id || ':' || turn AS id, role || '_' || turn AS name FROM conversations)
+    SELECT min(t.id) OVER (PARTITION BY conv_id) AS community_id, t.id, n.name FROM t JOIN n ON t.id = n.id""",
+)
+def community_members(spark, sf):
+    nodes = D.turn_nodes(spark, sf)
+    members = Stage(spark, "members").table(C.weak_components(nodes, D.turn_edges(spark, sf)))
+    return C.community_members(members, nodes).select("community_id", "id", "name")
+
+
 @query(
     "community_summary", "A13 A14 G3 V24",
     """WITH t AS (SELECT conv_id, conv_id || ':' || turn AS id, role || '_' || turn AS name, role FROM conversations),

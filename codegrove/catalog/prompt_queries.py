@@ -37,10 +37,10 @@ def code_explanations(spark, sf):
 
 @query(
     "relationship_texts", "F20 F22",
-    f"""WITH {CALLS} SELECT src, dst, src || ' --[CALLS]--> ' || dst || chr(10) || '  (' || src || ' calls ' || dst || ')' AS shown, src || ' calls ' || dst AS explained FROM calls WHERE src LIKE 'part:%'""",
+    f"""WITH {CALLS} SELECT src, dst, src || ' --[CALLS]--> ' || dst || chr(10) || '  (' || src || ' calls ' || dst || ')' AS shown, src || ' calls ' || dst AS explained FROM calls""",
 )
 def relationship_texts(spark, sf):
-    e = L.edges_of_type(D.order_edges(spark, sf), "calls").filter(F.col("src").startswith("part:"))
+    e = L.edges_of_type(D.order_edges(spark, sf), "calls")
     path = F.array(F.struct(F.col("dst").alias("node"), F.lit("CALLS").alias("edge_type")))
     s, d = F.col("src"), F.col("dst")
     return e.select(
@@ -66,12 +66,12 @@ def community_texts(spark, sf):
 
 @query(
     "impact_texts", "F24",
-    f"""WITH {CALLS}, {NODES}, d AS (SELECT c.dst AS id, n.name, c.src, row_number() OVER (PARTITION BY c.dst ORDER BY c.src) AS rn FROM calls c JOIN nodes n ON n.id = c.src WHERE c.dst LIKE 'part:%'),
+    f"""WITH {CALLS}, {NODES}, d AS (SELECT c.dst AS id, n.name, c.src, row_number() OVER (PARTITION BY c.dst ORDER BY c.src) AS rn FROM calls c JOIN nodes n ON n.id = c.src),
     g AS (SELECT id, count(*) AS n, array_to_string(list(name ORDER BY rn) FILTER (rn <= 5), ', ') AS names FROM d GROUP BY id)
     SELECT id, 'Changing X may affect:' || chr(10) || '  Direct dependents (' || n || '): ' || names || CASE WHEN n > 5 THEN chr(10) || '    ... and ' || (n - 5) || ' more' ELSE '' END AS body FROM g""",
 )
 def impact_texts(spark, sf):
-    calls = L.edges_of_type(D.order_edges(spark, sf), "calls").filter(F.col("dst").startswith("part:"))
+    calls = L.edges_of_type(D.order_edges(spark, sf), "calls")
     named = calls.join(D.order_nodes(spark, sf).select(F.col("id").alias("src"), "name"), "src")
     w = Window.partitionBy("dst").orderBy("src")
     first = named.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").groupBy("dst").agg(
@@ -93,14 +93,13 @@ def refined_queries(spark, sf):
 
 
 def _turn_items(spark, sf):
-    """The first ten turns of each conversation as prompt contexts (the section's own limit)."""
+    """The turns of each conversation as prompt contexts, longest first."""
     c = D.table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn", "text")
-    top = c.withColumn("pos", F.row_number().over(w)).filter("pos <= 10")
-    return top.select("conv_id", F.lit("contexts").alias("kind"), "pos", F.col("text").alias("body"))
+    return c.withColumn("pos", F.row_number().over(w)).select("conv_id", F.lit("contexts").alias("kind"), "pos", F.col("text").alias("body"))
 
 
-_ITEMS = """it AS (SELECT * FROM (SELECT conv_id, text AS body, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, text) AS pos FROM conversations) WHERE pos <= 10),
+_ITEMS = """it AS (SELECT conv_id, text AS body, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, text) AS pos FROM conversations),
   run AS (SELECT *, sum(length(body)) OVER (PARTITION BY conv_id ORDER BY pos) AS total FROM it),
   kept AS (SELECT * FROM run WHERE pos = 1 OR (total + 12) // 4 <= 300)"""
 
@@ -156,16 +155,14 @@ def answer_drift(spark, sf):
 
 @query(
     "answer_prompt_sections", "G10",
-    f"""WITH {DOC_UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS rn FROM doc_units)
-    SELECT file_path, count(*) AS total_components, md5(array_to_string(list(name || chr(10) || substr(content, 1, 500) ORDER BY id) FILTER (rn <= 10), chr(10) || chr(10))) AS shown FROM r GROUP BY 1""",
+    f"""WITH {DOC_UNITS} SELECT file_path, id, count(*) OVER (PARTITION BY file_path) AS total_components,
+      CAST(row_number() OVER (PARTITION BY file_path ORDER BY id) AS INTEGER) AS pos, md5(name || chr(10) || content) AS shown FROM doc_units""",
 )
 def answer_prompt_sections(spark, sf):
-    """G10 for every file at once: the first ten units, 500 characters each, by definition of the summary."""
+    """G10 for every file at once: all its units in their order, one row each, and how many the file has."""
     docs = D.document_units(spark, sf)
-    w = Window.partitionBy("file_path").orderBy("id")
-    part = F.concat_ws("\n", "name", F.substring("content", 1, 500))
-    first = docs.select("file_path", "id", part.alias("part"), F.row_number().over(w).alias("rn")).filter("rn <= 10")
-    shown = first.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("rn", "part"))).alias("p"))
-    counts = docs.groupBy("file_path").agg(F.count(F.lit(1)).alias("total_components"))
-    body = F.array_join(F.transform("p", lambda s: s["part"]), "\n\n")
-    return counts.join(shown, "file_path").select("file_path", "total_components", F.md5(body).alias("shown"))
+    own = Window.partitionBy("file_path")
+    return docs.select(
+        "file_path", "id", F.count(F.lit(1)).over(own).alias("total_components"), F.row_number().over(own.orderBy("id")).alias("pos"),
+        F.md5(F.concat_ws("\n", "name", "content")).alias("shown"),
+    )

@@ -128,10 +128,11 @@ def watched(
     return ~T.mentions_any(path, excluded) & any_name(path, patterns)
 
 
-def page(df: DataFrame, limit: int, offset: int = 0, *order) -> DataFrame:
-    """Filter-then-limit pagination in a fixed order (TakeOrderedAndProject)."""
+def page(df: DataFrame, limit: int | None, offset: int = 0, *order) -> DataFrame:
+    """Filter-then-limit pagination in a fixed order (TakeOrderedAndProject); no limit: all rows."""
     ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def validate_path(path: str, base_paths: Sequence[str] = ()) -> bool:

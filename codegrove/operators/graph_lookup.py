@@ -68,7 +68,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def list_nodes(
-    nodes: DataFrame, kind: str | None = None, file_path: str | None = None, limit: int = 100,
+    nodes: DataFrame, kind: str | None = None, file_path: str | None = None, limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
     """Filters first, then the page, in id order."""
@@ -79,23 +79,30 @@ def list_nodes(
     return page(nodes, limit, offset, "id")
 
 
+def _first_of(rows: DataFrame, group: str, order: str, n: int | None) -> DataFrame:
+    """The first rows of each group, or all."""
+    if n is None:
+        return rows
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def list_edges(
     edges: DataFrame, kind: str = "calls", src: str | None = None, dst: str | None = None,
-    limit: int = 100, per_node: int = 5, sample_nodes: int = 50,
+    limit: int | None = None, per_node: int | None = None, sample_nodes: int | None = None,
 ) -> DataFrame:
-    """Edges of one end, or a sample (first nodes by id, a few edges each)."""
+    """Edges of one end, or all edges; on request a sample (first nodes by id, a few edges each)."""
     rows = edges_of_type(edges, kind)
     if src:
         return page(outgoing(rows, src), limit, 0, "dst")
     if dst:
         return page(incoming(rows, dst), limit, 0, "src")
-    first = rows.select("src").distinct().orderBy("src").limit(sample_nodes)
-    w = Window.partitionBy("src").orderBy("dst")
-    sample = rows.join(first, "src", "left_semi").withColumn("_rn", F.row_number().over(w))
-    return page(sample.filter(F.col("_rn") <= per_node).drop("_rn"), limit, 0, "src", "dst")
+    if sample_nodes is not None:
+        rows = rows.join(rows.select("src").distinct().orderBy("src").limit(sample_nodes), "src", "left_semi")
+    return page(_first_of(rows, "src", "dst", per_node), limit, 0, "src", "dst")
 
 
-def list_files(nodes: DataFrame, pattern: str | None = None, limit: int = 100) -> DataFrame:
+def list_files(nodes: DataFrame, pattern: str | None = None, limit: int | None = None) -> DataFrame:
     """Distinct file paths, optionally by glob."""
     files = nodes.select("file_path").filter(F.col("file_path").isNotNull())
     if pattern:
@@ -157,18 +164,16 @@ def at_positions(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def related(contexts: DataFrame, edges: DataFrame, per_node: int = 5) -> DataFrame:
-    """Callers and callees of each context, a few each, as (source, target) pairs once."""
+def related(contexts: DataFrame, edges: DataFrame, per_node: int | None = None) -> DataFrame:
+    """Callers and callees of each context, all or a few each, as (source, target) pairs once."""
     ids = contexts.select(F.col("id").alias("ctx")).distinct()
     calls = edges_of_type(edges, "calls").select("src", "dst").distinct()
-    w = Window.partitionBy("ctx").orderBy("other")
 
     def side(own: str, other: str) -> DataFrame:
         rows = calls.select(F.col(own).alias("ctx"), F.col(other).alias("other")).join(
             ids, "ctx", "left_semi"
         )
-        ranked = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_node)
-        return ranked.select(F.col("ctx").alias(own), F.col("other").alias(other))
+        return _first_of(rows, "ctx", "other", per_node).select(F.col("ctx").alias(own), F.col("other").alias(other))
 
     pairs = side("dst", "src").unionByName(side("src", "dst")).distinct()
     return pairs.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codegrove.functions import text as T
+from codegrove.operators.filters import page
 
 
 def definitions_of(units: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def lookup_definitions(definitions: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def references_to(
     references: DataFrame, definitions: DataFrame, symbol: str, include_definition: bool = True,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """References of a symbol in the order added, its definition in front when asked for."""
     rows = references.filter(F.col("symbol") == symbol).select(
@@ -77,7 +78,7 @@ def references_to(
             F.concat(F.lit("Definition of "), F.col("name")).alias("context"),
         )
         rows = head.unionByName(rows)
-    return rows.orderBy("ord", "seq").limit(limit).drop("seq")
+    return page(rows, limit, 0, "ord", "seq").drop("seq")
 
 
 def without_file(definitions: DataFrame, references: DataFrame, file_path: str) -> tuple[DataFrame, DataFrame]:
@@ -140,9 +141,10 @@ def _hits(line: Column, patterns: list[str]) -> Column:
 
 
 def scan_references(
-    files: DataFrame, nodes: DataFrame, file_name: str, limit: int = 50, shown: int = 10
+    files: DataFrame, nodes: DataFrame, file_name: str, limit: int | None = None, shown: int | None = None, chars: int | None = None
 ) -> DataFrame:
-    """Files that include the target or call one of its units, with scores and first matches.
+    """Files that include the target or call one of its units, with scores and matches; on request the best ``limit`` files, the first
+    ``shown`` matches of each, the first ``chars`` characters of a line.
 
     Lines that can match are exploded; include patterns are counted by regular expressions and unit usages
     come from an equi-join of the called names on a line with the target's names, instead of trying
@@ -176,7 +178,7 @@ def scan_references(
     )
     imports = found.filter(F.col("n") > 0).select(
         "file_path", "language", F.lit(0).alias("phase"), F.lit("").alias("unit"), "line",
-        F.substring("text", 1, 200).alias("text"), "n", F.lit(10).alias("points"),
+        "text", "n", F.lit(10).alias("points"),
         F.lit("include/require").alias("type"),
     )
     usages = (
@@ -196,21 +198,22 @@ def scan_references(
         .groupBy("file_path", "language", "text", "key")
         .agg(F.min(F.struct("phase", "unit", "line", "n", "points", "type")).alias("m"))
         .select(
-            "file_path", "language", "m.phase", "m.unit", "m.line", F.substring("text", 1, 200).alias("text"),
+            "file_path", "language", "m.phase", "m.unit", "m.line", "text",
             "m.n", "m.points", "m.type",
         )
     )
     matches = imports.unionByName(once)
     w = Window.partitionBy("file_path").orderBy("phase", "unit", "line", "text")
     first = (
-        matches.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown)
+        matches.withColumn("rn", F.row_number().over(w)).filter(F.lit(True) if shown is None else F.col("rn") <= shown)
+        .withColumn("text", F.col("text") if chars is None else F.substring("text", 1, chars))
         .groupBy("file_path")
         .agg(F.sort_array(F.collect_list(F.struct("rn", "line", "text", "type"))).alias("m"))
     )
     totals = matches.groupBy("file_path", "language").agg(
         F.sum("n").alias("match_count"), F.sum(F.col("n") * F.col("points")).alias("score")
     )
-    best = totals.orderBy(F.desc("score"), "file_path").limit(limit)
+    best = page(totals, limit, 0, F.desc("score"), "file_path")
     return best.join(first, "file_path").select(
         "file_path", "language", "match_count", "score",
         F.transform("m", lambda s: F.struct(s["line"], s["text"], s["type"])).alias("matches"),

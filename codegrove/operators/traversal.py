@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codegrove.operators.filters import page
 from codegrove.operators.graph_lookup import edges_of_type
 from codegrove.schemas import DEPENDENCY_EDGES, DEPENDENT_EDGES
 from codegrove.staging import Stage
@@ -328,26 +329,26 @@ def inheritance_hierarchy(nodes: DataFrame, edges: DataFrame, node_id: str) -> D
 
 
 def dependency_star(
-    nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", depth: int = 2, limit: int = 50
+    nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", depth: int = 2, limit: int | None = None
 ) -> DataFrame:
     """(source, target) edges between the centre and what it reaches, nearest first."""
     frames = []
     if direction in ("in", "both"):
-        near = callers(nodes, edges, node_id, depth).orderBy("depth", "id").limit(limit)
+        near = page(callers(nodes, edges, node_id, depth), limit, 0, "depth", "id")
         frames.append(near.select(F.col("id").alias("source"), F.lit(node_id).alias("target")))
     if direction in ("out", "both"):
-        near = callees(nodes, edges, node_id, depth).orderBy("depth", "id").limit(limit)
+        near = page(callees(nodes, edges, node_id, depth), limit, 0, "depth", "id")
         frames.append(near.select(F.lit(node_id).alias("source"), F.col("id").alias("target")))
     return reduce(DataFrame.unionByName, frames)
 
 
 def containment_tree(
-    edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_children: int | None = 20,
+    edges: DataFrame, roots: DataFrame, max_depth: int | None = None, max_children: int | None = None,
     kind: str = "contains",
 ) -> DataFrame:
     """Rows (id, parent_id, depth, path) of the trees below some roots, children in id order.
 
-    ``max_children`` is the listing's own limit per node; None keeps all.
+    ``max_depth`` and ``max_children`` are limits of a listing; None keeps all.
     """
     spark = _spark(edges)
     stage = Stage(spark, "tree")
@@ -363,7 +364,7 @@ def containment_tree(
         )
     )
     levels = [level]
-    while seen["rows"] and len(levels) <= max_depth:
+    while seen["rows"] and (max_depth is None or len(levels) <= max_depth):
         up = level.select(F.col("id").alias("parent_id"), F.col("depth").alias("d"), F.col("path").alias("p"))
         below = links.join(up, "parent_id").filter(~F.array_contains("p", F.col("id"))).select(
             "id", "parent_id", (F.col("d") + 1).alias("depth"), F.concat("p", F.array("id")).alias("path")

@@ -76,17 +76,19 @@ def shrunk_best(best: DataFrame, other_length: int, max_tokens: int, steps: int
 
 
 def user_prompt(
-    items: DataFrame, query: str, query_type: str = "local", max_contexts: int = 10,
-    max_relationships: int = 10, max_communities: int = 5, group: list[str] | None = None,
+    items: DataFrame, query: str, query_type: str = "local", max_contexts: int | None = None,
+    max_relationships: int | None = None, max_communities: int | None = None, group: list[str] | None = None,
 ) -> DataFrame:
-    """The user prompt as one text per group; lists are cut to the sections' fixed lengths."""
+    """The user prompt as one text per group, of all items or of the first of each section."""
     limits = {"contexts": max_contexts, "relationships": max_relationships, "communities": max_communities}
     if query_type == "global":
         del limits["relationships"]
     if query_type not in ("global", "drift"):
         del limits["communities"]
     shown = items.filter(
-        F.coalesce(*[F.when((F.col("kind") == k) & (F.col("pos") <= n), True) for k, n in limits.items()], F.lit(False))
+        F.coalesce(
+            *[F.when((F.col("kind") == k) & (F.lit(True) if n is None else F.col("pos") <= n), True) for k, n in limits.items()], F.lit(False)
+        )
     )
 
     def body(kind: str):

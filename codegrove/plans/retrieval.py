@@ -34,7 +34,7 @@ class RetrievalSettings:
     max_vector_results: int = 20
     max_context_items: int = 10
     semantic_threshold: float = 0.5
-    related_per_node: int = 5
+    related_per_node: int | None = None
     related_score: float = 0.8
     include_callers: bool = True
     include_callees: bool = True
