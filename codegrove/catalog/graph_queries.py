@@ -13,6 +13,7 @@ from codegrove.operators import components as C
 from codegrove.operators import graph_build as B
 from codegrove.operators import graph_lookup as L
 from codegrove.operators import metrics as M
+from codegrove.operators import sketches as K
 from codegrove.operators import traversal as V
 from codegrove.plans.retrieval import CodeRetriever
 from codegrove.sources import graph_store as GS
@@ -430,6 +431,19 @@ def betweenness(spark, sf):
     return M.centrality(*transitions(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "closeness", "A3 T6",
+    """WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations),
+    r(conv_id, first, turn, d) AS (SELECT conv_id, turn, turn, 0 FROM t UNION ALL SELECT r.conv_id, first, t.turn, d + 1 FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1),
+    s AS (SELECT conv_id || ':' || first AS id, count(*) - 1 AS reached, sum(d)::DOUBLE AS distance, coalesce(sum(1.0::DOUBLE / d) FILTER (d > 0), 0) AS harmonic FROM r GROUP BY 1)
+    SELECT id, reached, distance, round(CASE WHEN reached = 0 THEN 0 ELSE reached / distance * (reached / ((SELECT count(*) FROM t) - 1.0::DOUBLE)) END, 9) AS closeness,
+      round(harmonic, 6) AS harmonic FROM s""",
+)
+def closeness(spark, sf):
+    found = K.closeness(D.turn_nodes(spark, sf), D.turn_edges(spark, sf))
+    return found.select("id", "reached", "distance", F.round("closeness", 9).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
+
+
 _DEGREE = f"""{NODES}, {EDGES}, pr AS (SELECT DISTINCT src, dst FROM edges),
     i AS (SELECT dst AS id, count(*) AS n FROM pr GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM pr GROUP BY 1),
     deg AS (SELECT id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id))"""

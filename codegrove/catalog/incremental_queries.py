@@ -14,6 +14,7 @@ from codegrove.catalog.carriers import DOC_UNITS
 from codegrove.catalog.registry import query
 from codegrove.functions import text as T
 from codegrove.operators import metrics as M
+from codegrove.operators import sketches as K
 from codegrove.operators import snapshots as N
 from codegrove.sources import tables as D
 from codegrove.sources import graph_store as GS
@@ -175,6 +176,27 @@ def stream_sessions(spark, sf):
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")), "events", "errors")
 
 
+_PROBABILITIES = [0.01, 0.5, 0.95, 0.99]
+
+
+@query(
+    "value_quantiles", "A9",
+    f"""SELECT event_type, count(*) AS n, p, true AS in_bounds FROM events, (SELECT unnest({_PROBABILITIES})::DOUBLE AS p)
+    WHERE value IS NOT NULL AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-24' GROUP BY event_type, p""",
+)
+def value_quantiles(spark, sf):
+    """Sketches of each day are stored, those of three weeks united; the exact share of values up to each quantile must be within 2 %."""
+    ev = D.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    stored = Stage(spark, "quantiles").table(K.quantile_sketches(ev, ["event_type", "day"], "value"))
+    weeks = F.col("day").between(F.lit("2024-01-03").cast("date"), F.lit("2024-01-23").cast("date"))
+    found = K.merged_quantiles(stored.filter(weeks), ["event_type"], _PROBABILITIES)
+    # one row for each type and probability meets the values of its type, which are counted where they are
+    values = ev.filter(weeks).select(F.col("event_type").alias("of"), F.col("value").alias("x"))
+    met = found.join(values, F.col("event_type") == F.col("of"))
+    ranks = met.groupBy("event_type", "n", "p").agg(F.avg((F.col("x") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("x") <= F.col("value")).cast("double")).alias("upto"))
+    return ranks.select("event_type", "n", "p", ((F.col("below") <= F.col("p") + 0.02) & (F.col("upto") >= F.col("p") - 0.02)).alias("in_bounds"))
+
+
 # --- documents --------------------------------------------------------------------------------------
 
 
