@@ -117,41 +117,6 @@ class Vocabulary:
             known[piece], before = tuple(table.ids()), piece
         return known
 
-    def _stay_apart(self, left: int, right: int) -> bool:
-        # A merge across the border counts if it came before the merges taken back so far. Of equal ranks the left one is first.
-        earlier_than, ties = None, False
-        while True:
-            across = self.ranks.get(self.bytes[left] + self.bytes[right])
-            if across is not None and (earlier_than is None or across < earlier_than or (ties and across == earlier_than)):
-                return False
-            a, b = self.halves(left), self.halves(right)
-            if a is None and b is None:
-                return True
-            if b is None or (a is not None and left > right):
-                earlier_than, ties, left = left, False, a[1]
-            else:
-                earlier_than, ties, right = right, True, b[0]
-
-    def ids(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of at least the given matches; what is new is worked out in sorted order, so that equal prefixes are shared."""
-        if len(self._known) >= MEMORY:
-            self._known = {}
-        known, table, before = self._known, PrefixTable(self), b""
-        for piece in sorted(set(pieces).difference(known)):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                known[piece] = (whole,)
-                continue
-            shared = 0
-            for a, b in zip(before, piece):
-                if a != b:
-                    break
-                shared += 1
-            table.cut(shared)
-            table.append(piece[shared:])
-            known[piece], before = tuple(table.ids()), piece
-        return known
-
 
 class PrefixTable:
     """The last token of every prefix of one piece of bytes."""
