@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's documents. All but
 the last return the columns of ``documents``. The run's intermediate tables lie in the shared checkpoint folder.
+
+Null and empty texts have no language and leave in the first stage; languages that are null teach nothing. A null id is an id of its own kind: its
+lines come first in the order, near-dedup and packing treat its row by the text, and substring dedup leaves it as it is. Empty tables pass through
+all stages; extra columns stay up to packing, whatever their names. What a stage does with repeated rows is stated in its module.
 """
 
 from __future__ import annotations
