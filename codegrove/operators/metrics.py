@@ -188,6 +188,7 @@ def code_metrics(units: DataFrame, edges: DataFrame) -> DataFrame:
     )
     rows = units.select("id", "name", "file_path", *line_counts(F.col("content"))).join(counts, "id", "left")
     rows = rows.fillna(0, ["dependencies_in", "dependencies_out"])
+    # The texts of the hints.
     hints = F.array_compact(
         F.array(
             F.when(F.col("lines_of_code") > 50, "Consider breaking this into smaller functions"),

@@ -16,10 +16,14 @@ from pyspark.sql.types import StructType
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse. On a cluster that must not be a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = not warehouse.partition(":")[1] or warehouse.startswith("file:") or warehouse.startswith("/")
+        if local and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir: the warehouse is a folder of the driver")
+        root = f"{warehouse.rstrip('/')}/staged"
     return root.rstrip("/")
 
 
