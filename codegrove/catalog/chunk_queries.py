@@ -108,6 +108,15 @@ def cache_lookup(spark, sf):
     return EC.lookup(_cache_of_labelled(spark, sf), wanted).select("content_hash", "unit_id")
 
 
+@query(
+    "cache_of_units", "I22",
+    f"""SELECT {_H} AS content_hash, CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+)
+def cache_of_units(spark, sf):
+    toxic = D.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("unit_id"))
+    return EC.of_units(_cache_of_labelled(spark, sf), toxic).select("content_hash", "unit_id")
+
+
 @query(
     "cache_stats", "A12 J17",
     f"""WITH {_CACHED}, p AS (SELECT {_H} IN (SELECT h FROM cached) AS hit FROM documents)

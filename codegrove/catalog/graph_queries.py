@@ -90,6 +90,30 @@ def list_files(spark, sf):
     return nodes.join(files, "file_path", "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("units"))
 
 
+@query(
+    "known_nodes_edges", "P8 P9",
+    f"""WITH {NODES}, {CALLS}, asked AS (SELECT DISTINCT 'part:' || (2 * p_partkey) AS id FROM part),
+    pairs AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || (l_partkey + l_linenumber % 2) AS dst FROM lineitem)
+    SELECT 'node' AS kind, id AS a, '' AS b, id IN (SELECT id FROM nodes) AS known FROM asked
+    UNION ALL SELECT 'edge', src, dst, (src, dst) IN (SELECT (src, dst) FROM calls) FROM pairs""",
+)
+def known_nodes_edges(spark, sf):
+    """Every second part number twice as high, and for every order line its part or the one after it."""
+    ids = D.table(spark, sf, "part").select(F.concat(F.lit("part:"), 2 * F.col("p_partkey")).alias("id"))
+    pairs = D.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey") + F.col("l_linenumber") % 2).alias("dst")
+    )
+    nodes, edges = graph(spark, sf)
+    found = L.known_nodes(nodes, ids).select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), "known")
+    of_pairs = L.known_edges(L.edges_of_type(edges, "calls"), pairs)
+    return found.unionByName(of_pairs.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "known"))
+
+
+@query("file_nodes", "P18", f"WITH {NODES} SELECT id, name, node_type FROM nodes WHERE file_path = 'nations.py'")
+def file_nodes(spark, sf):
+    return L.file_nodes(D.order_nodes(spark, sf), "nations.py").select("id", "name", "node_type")
+
+
 @query(
     "neighbors", "J6 J7 J8 U4",
     f"""WITH {EDGES} SELECT 'out' AS side, dst AS id FROM (SELECT DISTINCT dst FROM edges WHERE src = 'nation:3')

@@ -110,6 +110,14 @@ def prompt_budget(spark, sf):
     return rows.select("conv_id", "pos", F.md5("body").alias("body"))
 
 
+@query(
+    "prompt_tokens", "F13",
+    "SELECT conv_id, CAST((sum(length(text)) + 12) // 4 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
+)
+def prompt_tokens(spark, sf):
+    return prompting.estimated_tokens(_turn_items(spark, sf), "What is this", ["conv_id"])
+
+
 @query(
     "user_prompts", "R15 G9",
     f"""WITH {_ITEMS} SELECT conv_id, md5(chr(10) || '## Relevant Code' || chr(10) || chr(10) || array_to_string(list(body ORDER BY pos), chr(10) || chr(10)) || chr(10) || chr(10) || chr(10)

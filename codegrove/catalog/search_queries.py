@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codegrove.catalog.carriers import DOC_UNITS, SYMBOLS, mock_vector, tok
 from codegrove.catalog.registry import query
 from codegrove.functions import text as T
+from codegrove.operators import graph_lookup as L
 from codegrove.operators import ranking as R
 from codegrove.operators import search as S
 from codegrove.operators.filters import SearchFilter, SearchQuery
@@ -209,6 +210,20 @@ def near_terms(spark, sf):
     return word_index(spark, sf).near_terms(_NEAR_WORDS).select("word", "term", "edits")
 
 
+_FILE_ROWS = "SELECT file_path, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages, count(*) AS units, max(line_end) AS lines FROM doc_units"
+
+
+@query("indexed_files", "P21", f"WITH {DOC_UNITS} {_FILE_ROWS} WHERE regexp_full_match(file_path, 'src1.*') AND language IN ('en') GROUP BY file_path")
+def indexed_files(spark, sf):
+    return L.indexed_files(D.document_units(spark, sf), "src1*", "en")
+
+
+@query("file_info", "P22", f"WITH {DOC_UNITS} {_FILE_ROWS} WHERE file_path = (SELECT min(file_path) FROM doc_units) GROUP BY file_path")
+def file_info(spark, sf):
+    docs = D.document_units(spark, sf)
+    return L.file_info(docs, docs.agg(F.min("file_path")).first()[0])
+
+
 _PREFIXES = ["t", "ert", "ontio", ""]
 
 

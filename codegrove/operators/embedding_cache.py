@@ -69,6 +69,11 @@ def of_unit(cache: DataFrame, unit_id: str) -> DataFrame:
     return cache.filter(F.col("unit_id") == unit_id)
 
 
+def of_units(cache: DataFrame, units: DataFrame) -> DataFrame:
+    """I22 for many units (unit_id) at once."""
+    return cache.join(units.select("unit_id").distinct(), "unit_id", "left_semi")
+
+
 def probe_stats(cache: DataFrame, probes: DataFrame) -> DataFrame:
     """Entries, hits, misses and hit rate of a set of probes.
 

@@ -30,6 +30,19 @@ def has_node(nodes: DataFrame, node_id: str) -> bool:
     return not node(nodes, node_id).isEmpty()
 
 
+def known_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """P8 for many ids at once: (id, known) of each distinct id."""
+    present = nodes.select("id").distinct().withColumn("known", F.lit(True))
+    return ids.select("id").distinct().join(present, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def known_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """P9 for many pairs at once: (src, dst, known) of each distinct pair."""
+    present = edges.select("src", "dst").distinct().withColumn("known", F.lit(True))
+    found = pairs.select("src", "dst").distinct().join(present, ["src", "dst"], "left")
+    return found.select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def edges_between(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """All edges of a pair, each with its own type."""
     return edges.filter((F.col("src") == src) & (F.col("dst") == dst))
@@ -115,6 +128,25 @@ def file_nodes(nodes: DataFrame, file_path: str) -> DataFrame:
     return nodes.filter(F.col("file_path") == file_path)
 
 
+def indexed_files(
+    documents: DataFrame, pattern: str | None = None, language: str | None = None, limit: int | None = None, offset: int = 0
+) -> DataFrame:
+    """(file_path, languages, units, lines) of the files in the index, by path, optionally by glob and language."""
+    if pattern:
+        documents = documents.filter(T.matches_glob(F.col("file_path"), pattern))
+    if language:
+        documents = documents.filter(F.col("language") == language)
+    files = documents.groupBy("file_path").agg(
+        F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"), F.count(F.lit(1)).alias("units"), F.max("line_end").cast("long").alias("lines")
+    )
+    return page(files, limit, offset, "file_path")
+
+
+def file_info(documents: DataFrame, file_path: str) -> DataFrame:
+    """The row of one file, or none."""
+    return indexed_files(documents.filter(F.col("file_path") == file_path))
+
+
 def node_info() -> list[Column]:
     """The listing projection."""
     return [

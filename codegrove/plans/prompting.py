@@ -100,8 +100,8 @@ def user_prompt(
     return shown.groupBy(*(group or [])).agg(text.alias("user"))
 
 
-def estimated_tokens(items: DataFrame, query: str) -> DataFrame:
-    """a quarter of all characters."""
-    return items.agg(
+def estimated_tokens(items: DataFrame, query: str, group: list[str] | None = None) -> DataFrame:
+    """a quarter of all characters, of all items or of each group's."""
+    return items.groupBy(*(group or [])).agg(
         F.floor((F.coalesce(F.sum(F.length("body")), F.lit(0)) + len(query)) / 4).alias("tokens")
     )
