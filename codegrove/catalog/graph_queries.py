@@ -455,6 +455,30 @@ def betweenness(spark, sf):
     return M.centrality(*transitions(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
+def _rings(spark, sf):
+    """Conversations of three turns or more whose last turn calls the first: one ring each, so components grow with the table."""
+    chain = D.turn_edges(spark, sf).select("src", "dst")
+    ends = D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b")).filter("b - a >= 2")
+    return D.turn_nodes(spark, sf), chain.unionByName(ends.select(F.concat_ws(":", "conv_id", "b").alias("src"), F.concat_ws(":", "conv_id", "a").alias("dst")))
+
+
+_RINGS = """t AS (SELECT DISTINCT conv_id, turn, conv_id || ':' || turn AS id FROM conversations),
+    n AS (SELECT conv_id, min(id) AS low, max(turn) - min(turn) AS far, count(*) AS size FROM t GROUP BY conv_id)"""
+
+
+@query(
+    "scc_rings", "V20",
+    f"WITH {_RINGS} SELECT id, CASE WHEN far >= 2 AND size = far + 1 THEN low ELSE id END AS component FROM t JOIN n USING (conv_id)",
+)
+def scc_rings(spark, sf):
+    return C.strong_components(*_rings(spark, sf)).select("id", "component")
+
+
+@query("cycles_rings", "V21", f"WITH {_RINGS} SELECT id, low AS component, size FROM t JOIN n USING (conv_id) WHERE far >= 2 AND size = far + 1")
+def cycles_rings(spark, sf):
+    return C.cycles(*_rings(spark, sf)).select("id", "component", "size")
+
+
 @query(
     "closeness", "A3 T6",
     """WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations),
