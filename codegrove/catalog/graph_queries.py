@@ -13,6 +13,7 @@ from codegrove.operators import components as C
 from codegrove.operators import graph_build as B
 from codegrove.operators import graph_lookup as L
 from codegrove.operators import metrics as M
+from codegrove.operators import modularity as Q
 from codegrove.operators import sketches as K
 from codegrove.operators import traversal as V
 from codegrove.plans.retrieval import CodeRetriever
@@ -589,6 +590,30 @@ def community_summary(spark, sf):
     return C.community_summary(members, nodes).withColumn("key_components", F.array_join("key_components", ","))
 
 
+_PLACED = f"""{NODES}, {EDGES}, home AS (SELECT id, min(node_type) AS c FROM nodes GROUP BY id),
+    l AS (SELECT src AS u, dst AS v, count(*) AS w FROM edges GROUP BY ALL), b AS (SELECT u, v, w FROM l UNION ALL SELECT v, u, w FROM l),
+    p AS (SELECT coalesce(x.c, u) AS c, coalesce(y.c, v) AS d, w FROM b LEFT JOIN home x ON x.id = u LEFT JOIN home y ON y.id = v),
+    s AS (SELECT c, sum(w)::DOUBLE AS total, coalesce(sum(w) FILTER (c = d), 0)::DOUBLE AS inside FROM p GROUP BY c)"""
+
+
+@query(
+    "modularity", "V23 A13",
+    f"""WITH {_PLACED} SELECT (SELECT count(DISTINCT c) FROM home) AS communities,
+    round((SELECT sum(inside) / sum(total) - sum((total / (SELECT sum(total) FROM s)) ** 2) FROM s), 9) AS modularity""",
+)
+def modularity(spark, sf):
+    """How well the kinds of nodes part the graph of orders."""
+    nodes, edges = graph(spark, sf)
+    kinds = nodes.groupBy("id").agg(F.min("node_type").alias("community"))
+    return Q.modularity(kinds, edges).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("modular_communities", "V23")
+def modular_communities(spark, sf):
+    """Communities of the whole graph of orders, by modularity."""
+    return Q.modular_communities(*graph(spark, sf))
+
+
 # --- maintenance ------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from codegrove.catalog import load_all
 
 SF = "/root/testdata/sf0.001"
 #: Queries that SQL cannot express; other tests hold them against plain versions.
-WITHOUT_SQL = {"chunk_smart", "retrieve_local", "answer_drift"}
+WITHOUT_SQL = {"chunk_smart", "retrieve_local", "answer_drift", "modular_communities", "nearest_quantised"}
 
 
 @pytest.fixture(scope="module")
