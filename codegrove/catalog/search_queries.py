@@ -11,9 +11,11 @@ from codegrove.operators import graph_lookup as L
 from codegrove.operators import ranking as R
 from codegrove.operators import search as S
 from codegrove.operators.filters import SearchFilter, SearchQuery
+from codegrove.operators import vector_cells as N
 from codegrove.sources import tables as D
 from codegrove.sources.models import MockEmbedder
 from codegrove.sources.word_index import WordIndex, current
+from codegrove.staging import Stage
 
 HYBRID_TEXT = "function the and"
 HYBRID_DIMS = 64
@@ -302,6 +304,18 @@ def duplicates_threshold(spark, sf):
     return hits.select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("nearest_quantised", "J19 R13 R14")
+def nearest_quantised(spark, sf):
+    """The ten nearest of every twentieth vector, by cells and quantised residuals of all of them."""
+    vectors = Stage(spark, "unit-vectors").table(N.usable(D.table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    codes = N.fit(vectors)
+    if codes is None:
+        return vectors.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score"))
+    stored = Stage(spark, "codes").table(N.encode(vectors, codes))
+    questions = vectors.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return N.neighbours(stored, vectors, questions, codes)
+
+
 _HYBRID_SQL = f"""WITH {DOC_UNITS},
 t AS (SELECT *, {tok('content')} AS tc, {tok('name')} AS tn, {tok('qualified_name')} AS tq,
         {tok('signature')} AS ts, {tok('docstring')} AS td, sha256(content) AS h FROM doc_units),
