@@ -334,3 +334,27 @@ def test_parts_of_a_chain():
     xs = [3, 10, 20, 33, 44, 82, 90, 101, 110, 120]
     found = sorted(passage_chains.similar_parts(a, xs, b, xs, s))
     assert found == [(0, 50, 0, 50, 1.0), (80, 130, 80, 130, 1.0)]
+
+
+def test_fuzzy_recall_by_edit_rate(spark):
+    rng = random.Random(21)
+    new = lambda n: [f"x{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, case, number = [], {}, 0
+    for length in (60, 100, 200):
+        for rate in (0.03, 0.05, 0.1, 0.15):
+            for _ in range(40):
+                passage = new(length)
+                changed = [w if rng.random() > rate else new(1)[0] for w in passage]
+                if sum(x == y for x, y in zip(passage, changed)) >= 0.8 * length:
+                    number += 1
+                    docs += [(2 * number, new(70) + passage + new(90)), (2 * number + 1, new(80) + changed + new(80))]
+                    case[2 * number + 1] = (length, rate)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    rows = passage_chains.passages(frame).collect()
+    assert all(r.other_doc_id == r.doc_id - 1 and r.similarity >= 0.8 for r in rows)
+    found = {r.doc_id for r in rows}
+    recall = {c: np.mean([d in found for d, own in case.items() if own == c]) for c in sorted(set(case.values()))}
+    print(recall)
+    # passages that share fewer than two seeds are not compared: short ones with many changes
+    least = {(60, 0.1): 0.65, (60, 0.15): 0.5, (100, 0.15): 0.8}
+    assert all(r >= least.get(c, 0.9) for c, r in recall.items())
