@@ -97,7 +97,7 @@ def word_index(spark, sf) -> WordIndex:
     def build(path: str) -> None:
         WordIndex(spark, path).write(D.document_units(spark, sf), list(S.FIELD_WEIGHTS))
 
-    return WordIndex(spark, current(spark, "words-1", [f"{sf}/documents.parquet"], build))
+    return WordIndex(spark, current(spark, "words-2", [f"{sf}/documents.parquet"], build))
 
 
 def _stored(spark, sf, terms: list[str]):

@@ -97,3 +97,16 @@ def test_built_once_for_each_state(spark, tmp_path):
     spark.range(4).write.mode("overwrite").parquet(source)
     assert current(spark, "probe", [source], build) != first and len(runs) == 2
     assert spark.read.parquet(f"{first}/x").count() == 1
+
+
+def test_a_term_has_three_keys_at_most_and_repeated_ids_are_one_document(spark, tmp_path):
+    docs = [("a", "letters letters apart", "x"), ("a", "letters apart letters", "x"), (None, "letters", ""), (None, "apart", ""), ("b", "abcdefghijklmnopq", "x")]
+    made = WordIndex(spark, str(tmp_path / "index"), parts=3)
+    made.write(spark.createDataFrame(docs, "id string, content string, name string"), ["content", "name"])
+    keys = spark.read.parquet(f"{made.path}/near").groupBy("term").count().collect()
+    assert {r.term: r["count"] for r in keys} == {"letters": 3, "apart": 2, "x": 1, "abcdefghijklmnopq": 3}
+    assert {(r.term, r.documents, r.occurrences) for r in made.terms_from("").collect()} == {
+        ("letters", 2, 5), ("apart", 2, 3), ("x", 2, 3), ("abcdefghijklmnopq", 1, 1)
+    }
+    got = {(r.id, r.field, tuple(r.positions), r.length) for r in made.postings(["letters"]).collect()}
+    assert got == {("a", "content", (0, 0, 1, 2), 3), (None, "content", (0,), 1)}
