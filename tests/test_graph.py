@@ -104,6 +104,28 @@ def test_hub_component(make_graph):
     assert sizes == [61, 301]
 
 
+def test_weak_components_stage_little(make_graph, monkeypatch):
+    """Rounds shrink: a chain, a hub and pairs are settled with few rows written. Null ends, loops and unknown ends."""
+    rnd = random.Random(1)
+    chain = rnd.sample(range(3000), 3000)
+    pairs = [(f"c{a}", f"c{b}") for a, b in zip(chain, chain[1:])]
+    pairs += [("h", f"x{i}") for i in range(3000)] + [(f"p{i}", f"q{i}") for i in range(3000)]
+    names = sorted({x for p in pairs for x in p})
+    n, e = make_graph(dict.fromkeys([*names, "alone"], "function"), [(a, b, "calls") for a, b in [*pairs, ("alone", "alone"), ("p0", None), ("p1", "a")]])
+    staged, put = [], C.Stage.put
+
+    def counted(self, df, **measures):
+        table, seen = put(self, df, **measures)
+        staged.append(seen["rows"])
+        return table, seen
+
+    monkeypatch.setattr(C.Stage, "put", counted)
+    got = {r.id: r.component for r in C.weak_components(n, e).collect()}
+    want = {x: "c0" if x[0] == "c" else "h" if x[0] in "hx" else "p" + x[1:] for x in names} | {"alone": "alone", "p1": "a", "q1": "a"}
+    assert got == want
+    assert sum(staged) < 8 * len(pairs)
+
+
 def test_betweenness_by_brute_force(make_graph):
     names, pairs = random_digraph(5, 14, 40)
     adj = defaultdict(set)
