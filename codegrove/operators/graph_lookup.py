@@ -32,15 +32,19 @@ def has_node(nodes: DataFrame, node_id: str) -> bool:
 
 def known_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """P8 for many ids at once: (id, known) of each distinct id."""
-    present = nodes.select("id").distinct().withColumn("known", F.lit(True))
-    return ids.select("id").distinct().join(present, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+    return _known(nodes, ids, "id")
 
 
 def known_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """P9 for many pairs at once: (src, dst, known) of each distinct pair."""
-    present = edges.select("src", "dst").distinct().withColumn("known", F.lit(True))
-    found = pairs.select("src", "dst").distinct().join(present, ["src", "dst"], "left")
-    return found.select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"))
+    return _known(edges, pairs, "src", "dst")
+
+
+def _known(present: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """One aggregate over both sides: neither is made distinct or sorted for a join. A key with a null is never known."""
+    rows = asked.select(*keys, F.lit(True).alias("asked")).unionByName(present.select(*keys, F.lit(False).alias("asked")).dropna())
+    seen = rows.groupBy(*keys).agg(F.max("asked").alias("asked"), F.min("asked").alias("only"))
+    return seen.filter("asked").select(*keys, (~F.col("only")).alias("known"))
 
 
 def edges_between(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -126,6 +126,20 @@ def test_weak_components_stage_little(make_graph, monkeypatch):
     assert sum(staged) < 8 * len(pairs)
 
 
+def test_known_ids_and_pairs(spark):
+    """One aggregate and no join; repeated keys are one row, keys with a null are not known."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", None), (None, None)], "src string, dst string")
+    asked = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("a", None), (None, None), ("c", "b")], "src string, dst string")
+    found = L.known_edges(edges, asked)
+    assert {(r.src, r.dst): r.known for r in found.collect()} == {
+        ("a", "b"): True, ("b", "a"): False, ("a", None): False, (None, None): False, ("c", "b"): False}
+    assert found.count() == 5
+    nodes = edges.selectExpr("src AS id")
+    known = L.known_nodes(nodes, asked.selectExpr("dst AS id"))
+    assert {r.id: r.known for r in known.collect()} == {"a": True, "b": True, None: False} and known.count() == 3
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_betweenness_by_brute_force(make_graph):
     names, pairs = random_digraph(5, 14, 40)
     adj = defaultdict(set)
