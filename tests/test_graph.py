@@ -6,7 +6,9 @@ from helpers import ids
 from codegrove.operators import components as C
 from codegrove.operators import graph_lookup as L
 from codegrove.operators import metrics as M
+from codegrove.operators import modularity as Q
 from codegrove.operators import traversal as V
+from codegrove.sources import tables as D
 
 
 def mirrored(pairs, kind="calls", inverse="called_by"):
@@ -191,3 +193,45 @@ def test_impact_paths(make_graph):
     rows = V.impact_paths(n, e, "c", 3).collect()
     assert {tuple(r.path) for r in rows} == {("c", "b"), ("c", "b", "a")}
     assert V.impact_score(V.dependents(n, e, "c", 3), n).first()[0] == 1.0
+
+
+def counted_stages(monkeypatch):
+    """Rows of every table that is staged from here on."""
+    staged, put = [], C.Stage.put
+
+    def counted(self, df, **measures):
+        table, seen = put(self, df, **measures)
+        staged.append(seen["rows"])
+        return table, seen
+
+    monkeypatch.setattr(C.Stage, "put", counted)
+    return staged
+
+
+def test_modularity_stages_no_edges(make_graph, monkeypatch):
+    pairs = [(f"n{a}", f"n{b}") for a in range(12) for b in range(12)]
+    n, e = make_graph(dict.fromkeys((f"n{i}" for i in range(10)), "function"), [(a, b, "calls") for a, b in pairs])
+    kinds = n.selectExpr("id", "int(substr(id, 2)) % 3 as community")
+    staged = counted_stages(monkeypatch)
+    row = Q.modularity(kinds, e).first()
+    # n10 and n11 are no members, but communities of their own
+    home = {f"n{i}": i % 3 if i < 10 else f"n{i}" for i in range(12)}
+    total, inside = defaultdict(float), 0.0
+    for a, b in pairs:
+        total[home[a]] += 1
+        total[home[b]] += 1
+        inside += 2 * (home[a] == home[b])
+    m2 = sum(total.values())
+    assert row.communities == 3 and abs(row.modularity - (inside / m2 - sum((t / m2) ** 2 for t in total.values()))) < 1e-12
+    assert sum(staged) <= 10
+
+
+def test_calls_are_made_distinct_as_numbers(spark, tmp_path):
+    rows = [(1, 5, 7), (1, 5, 7), (1, 6, 7), (2, 5, 8), (None, 5, 7), (3, None, 9), (3, None, 9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = D.call_pairs(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+        ("order:1", "part:5"), ("order:1", "part:6"), ("order:2", "part:5"), (None, "part:5"), ("order:3", None),
+        ("part:5", "supplier:7"), ("part:6", "supplier:7"), ("part:5", "supplier:8"), (None, "supplier:9"),
+    ]))
+    assert "hashpartitioning(l_orderkey" in found._jdf.queryExecution().executedPlan().toString()
