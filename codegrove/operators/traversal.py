@@ -52,14 +52,14 @@ def hops(edges: DataFrame, options: TraversalOptions) -> DataFrame:
     return forward.filter(F.col("src") != F.col("dst"))
 
 
-def reach(starts: DataFrame, steps: DataFrame, max_depth: int = -1) -> DataFrame:
-    """(id, depth) of everything reachable from any start (depth 0), by levels.
+def reach(starts: DataFrame, steps: DataFrame, max_depth: int = -1, staged: bool = False) -> DataFrame:
+    """(id, depth) of everything reachable from any start (depth 0), by levels. ``staged``: the steps are a written table already.
 
     Every ``FOLDED`` levels the visited nodes are written as one table, so that a long chain does not read one table per level in
     every round.
     """
     stage = Stage(_spark(steps), "reach")
-    if max_depth != 1:
+    if max_depth != 1 and not staged:
         steps = stage.table(steps.select("src", "dst").distinct())
     frontier, seen = stage.put(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     levels = [frontier]
@@ -87,10 +87,10 @@ def _one(df: DataFrame, node_id: str) -> DataFrame:
 
 
 def traverse(
-    nodes: DataFrame, edges: DataFrame, start: str, options: TraversalOptions = TraversalOptions()
+    nodes: DataFrame, edges: DataFrame, start: str, options: TraversalOptions = TraversalOptions(), staged: bool = False
 ) -> DataFrame:
-    """V7: nodes reachable from ``start`` with their depth; the type filter applies to the output only."""
-    found = reach(_one(nodes, start), hops(edges, options), options.max_depth)
+    """V7: nodes reachable from ``start`` with their depth; the type filter applies to the output only. ``staged``: see ``reach``."""
+    found = reach(_one(nodes, start), hops(edges, options), options.max_depth, staged)
     if not options.include_self:
         found = found.filter(F.col("id") != start)
     if options.node_types is not None:
@@ -135,14 +135,14 @@ def ego_graph(
     return found, induced_edges(edges, found, types)
 
 
+def _weighted_steps(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
+    rows = edges_of_type(edges, *types) if types is not None else edges
+    return rows.filter(F.col("src") != F.col("dst")).select("src", "dst", "weight")
+
+
 def _distinct_steps(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
     """One row per connected pair with the smallest weight of its edges."""
-    rows = edges_of_type(edges, *types) if types is not None else edges
-    return (
-        rows.filter(F.col("src") != F.col("dst"))
-        .groupBy("src", "dst")
-        .agg(F.min("weight").alias("weight"))
-    )
+    return _weighted_steps(edges, types).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
 def shortest_path(
@@ -199,7 +199,7 @@ def all_paths(
     stage = Stage(spark, "paths")
     steps = stage.table(_distinct_steps(edges, types))
     back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    left = reach(_one(edges, target), back, max(max_nodes - 1, 0)).select(
+    left = reach(_one(edges, target), back, max(max_nodes - 1, 0), staged=True).select(
         F.col("id").alias("dst"), F.col("depth").alias("to_go")
     )
     useful = stage.table(steps.join(left, "dst"))
@@ -259,17 +259,19 @@ def impact_score(affected: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def paths_to_targets(
     edges: DataFrame, source: str, targets: DataFrame, max_nodes: int, per_target: int | None = None,
-    types: Sequence[str] | None = None,
+    types: Sequence[str] | None = None, staged: bool = False,
 ) -> DataFrame:
     """(id, path, hops, total_weight): the simple paths of at most ``max_nodes`` nodes from ``source`` to all ``targets`` (id) together.
 
     One enumeration serves all targets, level by level. A partial path is extended only where a target that still wants paths can be reached
     in the nodes that are left (the targets' common backward distance). With ``per_target`` the shortest paths of each target are kept, of
-    equally long ones the smallest, and a target that has enough of them no longer asks for longer ones.
+    equally long ones the smallest, and a target that has enough of them no longer asks for longer ones. Parallel edges are merged among those a
+    round meets, not in the whole graph. ``staged``: the edges are a written table already.
     """
     spark = _spark(edges)
     stage = Stage(spark, "target-paths")
-    steps = stage.table(_distinct_steps(edges, types))
+    steps = _weighted_steps(edges, types)
+    steps = steps if staged else stage.table(steps)
     back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     wanted = stage.table(targets.select("id").distinct())
     frontier, seen = stage.put(_one(edges, source).select("id", F.array("id").alias("path"), F.lit(0.0).alias("total_weight")))
@@ -293,9 +295,12 @@ def paths_to_targets(
                 open_targets = wanted.join(full.filter(F.col("n") >= per_target), "id", "left_anti")
             else:
                 open_targets = wanted
-            to_go = stage.table(reach(open_targets, back, max_nodes - length).select(F.col("id").alias("dst"), F.col("depth").alias("to_go")))
-        # both sides are plain scans: the edges of a hub are many rows of one key, which Spark splits
-        useful = steps.join(to_go.filter(F.col("to_go") <= max_nodes - length), "dst").select("src", "dst", "weight")
+            to_go = stage.table(reach(open_targets, back, max_nodes - length, staged=True).select(F.col("id").alias("dst"), F.col("depth").alias("to_go")))
+        # the steps out of the frontier first: while it is small it is sent to the steps, and only what it meets is moved. Both sides are plain
+        # scans: the edges of a hub are many rows of one key, which Spark splits
+        near = steps.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
+        useful = near.join(to_go.filter(F.col("to_go") <= max_nodes - length).select("dst"), "dst", "left_semi")
+        useful = useful.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
         ahead = useful.join(frontier.withColumnRenamed("id", "src"), "src").filter(~F.array_contains("path", F.col("dst")))
         frontier, seen = stage.put(ahead.select(
             F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), (F.col("total_weight") + F.col("weight")).alias("total_weight")
@@ -307,7 +312,9 @@ def impact_paths(
     nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 3, per_node: int | None = None
 ) -> DataFrame:
     """The paths, of at most ``max_depth`` nodes, to all nodes that a change affects, as (id, path, hops, total_weight)."""
-    return paths_to_targets(edges, node_id, dependents(nodes, edges, node_id, max_depth), max_depth, per_node)
+    known = Stage(_spark(edges), "impact-paths").table(edges.select("src", "dst", "edge_type", "weight"))
+    affected = traverse(nodes, known, node_id, TraversalOptions(max_depth, DEPENDENT_EDGES), staged=True)
+    return paths_to_targets(known, node_id, affected, max_depth, per_node, staged=True)
 
 
 def call_hierarchy(

@@ -208,6 +208,19 @@ def counted_stages(monkeypatch):
     return staged
 
 
+def test_impact_paths_stage_the_edges_once(make_graph, monkeypatch):
+    # a small affected part beside a large graph, with parallel edges of other weights
+    far = [(f"x{i}", f"y{i % 40}") for i in range(800)]
+    near = [("a", "b"), ("b", "c"), ("d", "b"), ("a", "c")]
+    n, e = make_graph(dict.fromkeys([*"abcd", *{i for p in far for i in p}], "function"), mirrored([*far, *near]))
+    extra = e.filter("src = 'c' and dst = 'b'").selectExpr("src", "dst", "'uses' as edge_type", "0.5D as weight", "metadata")
+    edges = e.unionByName(extra)
+    staged = counted_stages(monkeypatch)
+    got = {(tuple(r.path), r.hops, r.total_weight) for r in V.impact_paths(n, edges, "c", 3).collect()}
+    assert got == {(("c", "b"), 1, 0.5), (("c", "a"), 1, 1.0), (("c", "b", "a"), 2, 1.5), (("c", "b", "d"), 2, 1.5), (("c", "a", "b"), 2, 2.0)}
+    assert sum(staged) < 1.2 * (2 * len(far + near) + 1)
+
+
 def test_modularity_stages_no_edges(make_graph, monkeypatch):
     pairs = [(f"n{a}", f"n{b}") for a in range(12) for b in range(12)]
     n, e = make_graph(dict.fromkeys((f"n{i}" for i in range(10)), "function"), [(a, b, "calls") for a, b in pairs])
