@@ -22,8 +22,9 @@ to the smaller phrase; empty tables give an empty result. Only text and lang are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from codegrove.staging import Stage
 
 #: Words counted together in a task.
 UNIT = 1 << 20
+#: Rows sent on together.
+SENT = 1 << 15
 PIECE = np.zeros(256, dtype=bool)
 PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK = np.zeros(256, dtype=bool)
@@ -149,7 +152,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, list[str]]
         base = np.cumsum([0, *(len(h[-1]) for h in held[:-1])])
         for h, b in zip(held, base.tolist()):
             h[5], h[6] = h[5] + b, h[6] + b
-        return Unit(*(np.concatenate(c) for c in zip(*held)))
+        columns = [list(c) for c in zip(*held)]
+        # the parts go as they are joined: they would else lie beside the unit for as long as it is worked on
+        held.clear()
+        return Unit(*(np.concatenate(columns.pop(0)) for _ in range(len(columns))))
 
     for batch in batches:
         langs = batch.column(1)
@@ -177,12 +183,21 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, list[str]]
             held.append([own.hashes(starts, ends), new, row_code[at], lang_keys[at], codes[at], starts, ends, own.data])
             size += len(starts)
             if size >= UNIT:
+                size = 0
                 yield unit(), names
-                held, size = [], 0
     if held:
         yield unit(), names
 
 
+def _each_unit(batches: Iterator[pa.RecordBatch], rows: Callable[[Unit, list[str]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """The rows of every unit, in small batches. No name outlives its unit, so that one is gone before the words of the next are gathered."""
+
+    def sent(own: tuple[Unit, list[str]]) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(i, SENT) for batch in rows(*own) for i in range(0, batch.num_rows, SENT))
+
+    return chain.from_iterable(map(sent, _units(batches)))
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key is met first, and how often."""
     _, first, n = np.unique(keys, return_index=True, return_counts=True)
@@ -191,7 +206,8 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, tag, n: words; with a tag, words of a language (tag) in a shard (key)."""
-    for unit, names in _units(batches):
+
+    def rows(unit: Unit, names: list[str]) -> Iterator[pa.RecordBatch]:
         _, keys, _ = next(unit.grams(1))
         first, n = _counted(keys)
         both, m = np.unique(unit.lang.astype(np.int64) << SHARD_BITS | unit.shard, return_counts=True)
@@ -199,6 +215,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.append(keys[first].view(np.int64), both & ((1 << SHARD_BITS) - 1))
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tags, pa.string()), pa.array(np.append(n, m))], ["key", "tag", "n"])
 
+    return _each_unit(batches, rows)
+
 
 def _local_rows(unit: Unit, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     first, n = _counted(keys[at] ^ shard_salt(unit.shard[at]))
@@ -212,12 +230,15 @@ def _pair_rows(words: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Filter(words.value)
-        for unit, _ in _units(batches):
+
+        def rows(unit: Unit, _: list[str]) -> Iterator[pa.RecordBatch]:
             (_, single, _), (_, pair, ok) = unit.grams(2)
             known = frequent.has(single)
             ok[:-1] &= known[:-1] & known[1:]
             yield _local_rows(unit, pair, np.flatnonzero(ok))
 
+        return _each_unit(batches, rows)
+
     return run
 
 
@@ -226,7 +247,8 @@ def _longer_rows(pairs: Broadcast, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Filter(pairs.value)
-        for unit, _ in _units(batches):
+
+        def rows(unit: Unit, _: list[str]) -> Iterator[pa.RecordBatch]:
             known = None
             for m, keys, ok in unit.grams(longest):
                 if m == 2:
@@ -238,6 +260,8 @@ def _longer_rows(pairs: Broadcast, longest: int):
                     known = known & last
                     yield _local_rows(unit, keys, np.flatnonzero(ok & known))
 
+        return _each_unit(batches, rows)
+
     return run
 
 
@@ -246,15 +270,18 @@ def _phrase_rows(words: Broadcast, phrases: Broadcast, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, several = Filter(words.value), Filter(phrases.value)
-        for unit, names in _units(batches):
+
+        def rows(unit: Unit, names: list[str]) -> Iterator[pa.RecordBatch]:
             for m, keys, ok in unit.grams(longest):
                 at = np.flatnonzero(ok)
                 at = at[(single if m == 1 else several).has(keys[at])]
                 first, n = _counted(keys[at])
-                for i in range(0, len(first), 1 << 17):
-                    own = at[first[i : i + (1 << 17)]]
+                for i in range(0, len(first), SENT):
+                    own = at[first[i : i + SENT]]
                     lang = pa.DictionaryArray.from_arrays(pa.array(unit.lang[own]), pa.array(names, pa.string())).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([lang, unit.texts(own, m), pa.array(n[i : i + (1 << 17)])], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([lang, unit.texts(own, m), pa.array(n[i : i + SENT])], ["lang", "phrase", "n"])
+
+        return _each_unit(batches, rows)
 
     return run
 

@@ -2,8 +2,11 @@
 
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,25 @@ def test_query_against_plain(spark, documents):
     s = P.Settings()
     want = plain([(r.text, r.lang) for r in documents.collect()], s)
     assert found(queries.QUERIES["op12_phrase_collocations"](spark, "/root/testdata/sf0.001")) == want and want
+
+
+def test_one_unit_at_a_time(monkeypatch):
+    """A task holds one unit: its parts are gone when it is made, and it is gone before the next is."""
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c d"] * 8, "lang": ["en"] * 8, "shard": [0] * 8, "need": [1] * 8})
+    made, beside = [], []
+    real = P.Unit
+
+    def unit(*columns):
+        beside.append(sum(u() is not None for u in made))
+        own = real(*columns)
+        made.append(weakref.ref(own))
+        return own
+
+    monkeypatch.setattr(P, "Unit", unit)
+    monkeypatch.setattr(P, "UNIT", 16)
+    words = type("Sent", (), {"value": np.full(16, 2**64 - 1, dtype=np.uint64)})
+    for run in (P._word_rows, P._pair_rows(words), P._longer_rows(words, 4), P._phrase_rows(words, words, 4)):
+        made.clear()
+        beside.clear()
+        assert sum(b.num_rows for b in run(iter([batch] * 4))) > 0
+        assert beside == [0] * 4
