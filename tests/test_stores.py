@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from codegrove.catalog import graph_queries
 from codegrove.operators import embedding_cache as EC
 from codegrove.operators import snapshots as N
 from codegrove.plans.retrieval import CodeAssistant, CodeRetriever, RetrievalSettings
@@ -171,3 +172,15 @@ def test_assistant(spark, make_graph):
     assert {r.code_id for r in retriever.by_relationship("a", "callees", 2).collect()} == {"b", "c"}
     assert bot.explain("zz") == "Code not found." and bot.explain("a")
     assert bot.summarise_file("f.py")[1].count() == 3
+
+
+def test_graph_json_is_stored_compressed(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a", "A", "class"), ("b", "B", "class"), (None, "C", "class")], "id string, name string, node_type string")
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "gone", "calls"), ("a", "b", "calls")], "src string, dst string, edge_type string")
+    written, export = [], GS.GraphStore.export_json
+    monkeypatch.setattr(graph_queries, "graph", lambda *_: (nodes, edges))
+    monkeypatch.setattr(GS.GraphStore, "export_json", lambda *a, **k: (written.append(export(*a, **k)), written[0])[1])
+    rows = sorted(graph_queries.graph_json(spark, "").collect(), key=str)
+    assert [(r.kind, r.a) for r in rows] == [("edge", "a>b"), ("edge", "a>b"), ("node", "a"), ("node", "b"), ("node", None)]
+    parts = [n for n in GS.list_children(spark, written[0]) if n.startswith("part-")]
+    assert parts and all(n.endswith(".gz") for n in parts)
