@@ -7,7 +7,9 @@ language), so mining every shard completely at that lower support finds every fr
 1. Words are counted; phrases with a word below the support cannot be frequent.
 2. Every shard's word pairs are counted and those that reach the shard's support are kept.
 3. Every shard's phrases of three words and more, all of whose pairs are frequent in that shard, are counted and held to its support too.
-4. The union of all locally frequent phrases is counted over all shards, by language and text: only these counts, which are exact, decide.
+   After steps 2 and 3, phrases go that cannot reach the support in all data: in a shard whose share of it they miss they come
+   once less than that share at most, so what they have beyond the shares elsewhere must make up for all that is missing.
+4. The union of what is left is counted over all shards, by language and text: only these counts, which are exact, decide.
 
 Tasks count before they send, a million words at a time. What passes from one step to the next is a Bloom filter of at most 2**27 bits (16 MB),
 whatever the data; a wrong yes costs a row that the next count drops, and nothing is lost. Counting keys are 64-bit hashes; two phrases of one key
@@ -44,8 +46,8 @@ PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Shards fit into the low bits of a row's code, the local support into the rest.
-SHARD_BITS = 6
+#: Shards fit into the low bits of a row's code, the local support into the next, what must be had beyond it into the rest.
+SHARD_BITS, NEED_BITS = 6, 26
 MAX_BITS = 27
 
 
@@ -60,8 +62,8 @@ class Settings:
     shards: int = 24
 
     def __post_init__(self):
-        if not 0 < self.shards <= 1 << SHARD_BITS or self.longest < 2 or self.support < 1:
-            raise ValueError("1 to 64 shards, phrases of two words at least, a positive support")
+        if not 0 < self.shards <= 1 << SHARD_BITS or self.longest < 2 or not 0 < self.support < 1 << NEED_BITS:
+            raise ValueError("1 to 64 shards, phrases of two words at least, a positive support below 2**26")
 
 
 def shard_salt(shard: np.ndarray | int) -> np.ndarray:
@@ -300,12 +302,19 @@ def counts(docs: DataFrame, s: Settings = Settings(), shard: Column | None = Non
     by_shard = counted.filter("tag is not null").select(F.col("tag").alias("lang"), F.col("key").cast("int").alias("shard"), "n")
     totals = stage.table(by_shard.groupBy("lang").agg(F.sum("n").alias("n")))
     share = by_shard.join(totals.withColumnRenamed("n", "all"), "lang")
-    needs = stage.table(share.select("lang", "shard", F.expr(f"int(({s.support} * n + all - 1) div all)").alias("need")))
+    needs = share.select("lang", "shard", F.expr(f"({s.support} * n + all - 1) div all").alias("need"))
+    # a phrase that just misses every share lacks this much of the support
+    lacks = needs.groupBy("lang").agg((s.support - F.sum(F.col("need") - 1)).alias("lack"))
+    code_of = F.col("need").bitwiseOR(F.shiftleft("lack", NEED_BITS))
+    needs = stage.table(needs.join(lacks, "lang").select("lang", "shard", code_of.alias("need")))
     dealt = texts.join(needs, ["lang", "shard"]).select("text", "lang", "shard", "need")
 
     def local(rows: DataFrame) -> tuple[DataFrame, dict]:
-        sums = rows.groupBy("key", "code").agg(F.sum("n").alias("n"))
-        return stage.put(sums.filter(F.col("n") >= F.shiftright("code", SHARD_BITS)).select("key", "code"))
+        need = F.shiftright("code", SHARD_BITS).bitwiseAND((1 << NEED_BITS) - 1)
+        sums = rows.groupBy("key", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
+        over, lack = F.sum(F.col("n") - need + 1), F.min(F.shiftright("code", SHARD_BITS + NEED_BITS))
+        able = sums.groupBy("key").agg(over.alias("over"), lack.alias("lack"), F.collect_list("code").alias("codes")).filter("over >= lack")
+        return stage.put(able.select("key", F.explode("codes").alias("code")))
 
     kind = "key long, code long, n long"
     pairs, n_pairs = local(dealt.mapInArrow(_pair_rows(words), kind))

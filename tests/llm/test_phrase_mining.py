@@ -107,3 +107,15 @@ def test_one_unit_at_a_time(monkeypatch):
         beside.clear()
         assert sum(b.num_rows for b in run(iter([batch] * 4))) > 0
         assert beside == [0] * 4
+
+
+def test_what_cannot_reach_the_support_is_no_candidate(spark, monkeypatch):
+    """A pair that just has one shard's share of the support lacks nine tenths of it."""
+    rows = [("a b", "en", i) for i in range(10) for _ in range(10)]
+    rows += [("x y", "en", 0)] * 10 + [(w, "en", i) for w in "xy" for i in range(1, 10) for _ in range(10)]
+    docs = spark.createDataFrame(rows, "text string, lang string, shard int")
+    sizes, real = [], P.Filter.of
+    monkeypatch.setattr(P.Filter, "of", staticmethod(lambda keys, n: (sizes.append(keys.distinct().count()), real(keys, n))[1]))
+    f, _ = P.counts(docs, P.Settings(support=100, longest=2, shards=10), F.col("shard"))
+    assert sorted(tuple(r) for r in f.select("phrase", "f").collect()) == [("a", 100), ("a b", 100), ("b", 100), ("x", 100), ("y", 100)]
+    assert sizes == [4, 1]
