@@ -358,3 +358,59 @@ def test_fuzzy_recall_by_edit_rate(spark):
     # passages that share fewer than two seeds are not compared: short ones with many changes
     least = {(60, 0.1): 0.65, (60, 0.15): 0.5, (100, 0.15): 0.8}
     assert all(r >= least.get(c, 0.9) for c, r in recall.items())
+
+
+def test_frequent_seeds_do_not_hide_a_changed_passage(spark):
+    """Every seed of the passage is more frequent than seeds are matched at once, before and after the only place that has the whole of it."""
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = new(90)
+    changed = [new(1)[0] if i % 30 == 14 else w for i, w in enumerate(passage)]
+    parts = [passage[i : i + 30] for i in (0, 15, 30, 45, 60)]
+    pieces = lambda first: [(first + i, new(40) + parts[i % 5] + new(40)) for i in range(30)]
+    docs = [*pieces(0), (40, new(50) + passage + new(50)), *pieces(50), (90, new(60) + changed + new(20))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    for n in (1, 7):
+        rows = [r for r in passage_chains.passages(frame.repartition(n)).collect() if r.doc_id == 90]
+        assert [(r.other_doc_id, r.start_word <= 65, r.end_word >= 145) for r in rows] == [(40, True, True)]
+
+
+def test_links_of_large_groups_all_meet(spark, monkeypatch):
+    """Places of a link are dealt into a grid; each open one meets every earlier one, once."""
+    rng = np.random.default_rng(6)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = new(60)
+    docs = [(i, new(30) + passage + new(30)) for i in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    keyed = frame.withColumn("key", passage_chains.row_key())
+    s, seen = passage_chains.Settings(), []
+    seeds = [(k, w) for k in (r.key for r in keyed.collect()) for w in (35, 50, 70)]
+    marks = spark.createDataFrame(seeds, "key long, word int")
+    none = spark.createDataFrame([], "key long, a long, b long")
+    for block in (1024, 7):
+        monkeypatch.setattr(passage_chains, "BLOCK", block)
+        found = passage_chains._open_matches(keyed, marks, none, Stage(spark, "test"), s)
+        seen.append(sorted(tuple(r) for r in found.distinct().collect()))
+    assert len(seen[0]) == 3 * 40 * 39 // 2 and seen[0] == seen[1]
+
+
+def test_reach_of_many_pairs_is_that_of_extend():
+    rng = np.random.default_rng(7)
+    s, size = passage_chains.Settings(), passage_chains.AROUND
+    texts = rng.integers(0, 6, (400, 60)).astype(np.int64)
+    texts[200:, 5:] = texts[:200, 3:58]
+    lengths = rng.integers(0, 60, 400)
+    n = np.minimum(lengths, size)
+    sides = []
+    for nothing in (1 << 40, 1 << 41):
+        wide = np.full((400, size + 4), nothing)
+        for r in range(400):
+            wide[r, : n[r]] = texts[r, : n[r]]
+        sides.append(wide)
+    a, b = rng.integers(0, 400, 5000), rng.integers(0, 400, 5000)
+    b[:400], a[:400] = np.arange(400), (np.arange(400) + 200) % 400
+    got = passage_chains._reach(sides[0], n, sides[1], n, a, b, s)
+    want = [passage_chains.extend(texts[i, : lengths[i]].tolist(), 0, texts[k, : lengths[k]].tolist(), 0, 1, 2.0, s)[0] for i, k in zip(a, b)]
+    told = got < s.least
+    assert told.sum() > 1000 and (got[told] == np.array(want)[told]).all()
+    assert (~told).sum() > 100
