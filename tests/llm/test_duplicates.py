@@ -397,12 +397,12 @@ def test_links_of_large_groups_all_meet(spark, monkeypatch):
 def test_reach_of_many_pairs_is_that_of_extend():
     rng = np.random.default_rng(7)
     s, size = passage_chains.Settings(), passage_chains.AROUND
-    texts = rng.integers(0, 6, (400, 60)).astype(np.int64)
+    texts = rng.integers(0, 12, (400, 60)).astype(np.int32)
     texts[200:, 5:] = texts[:200, 3:58]
     lengths = rng.integers(0, 60, 400)
     n = np.minimum(lengths, size)
     sides = []
-    for nothing in (1 << 40, 1 << 41):
+    for nothing in passage_chains._NOTHING:
         wide = np.full((400, size + 4), nothing)
         for r in range(400):
             wide[r, : n[r]] = texts[r, : n[r]]
