@@ -176,7 +176,8 @@ def top_k(
                     [pa.array(q_ids[at]), pa.array(ids), pa.array(scores, pa.int64())], ["query_id", "id", "score"]
                 )
 
-    found = q.join(c, ["group", "dim"]).select("q_n", "q_ids", "q_cells", "q_block", "c_n", "c_ids", "c_cells")
+    # always shuffled: Spark takes the exploded blocks for as small as they were before, and would send them through the driver
+    found = q.hint("merge").join(c, ["group", "dim"]).select("q_n", "q_ids", "q_cells", "q_block", "c_n", "c_ids", "c_cells")
     best = found.mapInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (

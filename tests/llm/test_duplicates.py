@@ -273,6 +273,8 @@ def test_top_k_equals_sql_and_handles_odd_vectors(spark):
     big = 256 * 10**12
     assert found == [(0, 1, 7, 256 * big + 512 * big), (0, 2, 5, 256 * 256 + 512 * 512)]
     assert top_k(frame.limit(0), F.col("vec_id") % 50 == 0, 2).count() == 0
+    # blocks meet by a shuffle, whatever Spark takes their size for
+    assert "Broadcast" not in top_k(frame, F.col("vec_id") % 50 == 0, 2)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pipeline_stages_take_effect(spark, awkward):
